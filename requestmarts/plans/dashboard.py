@@ -13,6 +13,7 @@ from requestmarts.operators.filters import RequestFilter
 from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
 from requestmarts.plans import marts
 from requestmarts.schema import CARD_SCHEMAS
+from requestmarts.sources.checkpoints import checkpointed
 from requestmarts.sources.readers import read_mart, read_mart_or_empty
 
 REGION, SUBPREFECTURE = "regiao_administrativa", "subprefeitura"
@@ -66,37 +67,18 @@ def cards_from_marts(spark: SparkSession, database: str | None = None) -> dict[s
     return cards
 
 
-class Dashboard(dict):
-    """Cards by name, as lazy frames. Close it to release the cached roll-up."""
-
-    def __init__(self, cards: dict[str, DataFrame], rolled: DataFrame | None = None):
-        super().__init__(cards)
-        self._rolled = rolled
-
-    def close(self) -> None:
-        if self._rolled is not None:
-            self._rolled.unpersist()
-
-    def __enter__(self) -> Dashboard:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.close()
-
-
 def dashboard(
     detail: DataFrame,
     filt: RequestFilter,
     *,
     as_of: dt.date | str | None = None,
     database: str | None = None,
-) -> Dashboard:
-    """All cards. A filtered dashboard scans the detail fact once: its cards share
-    the cached roll-up, which is small and recomputed if an executor is lost."""
+) -> dict[str, DataFrame]:
+    """All cards by name. A filtered dashboard scans the detail fact once: its cards
+    share the roll-up, which is small and kept in the checkpoint folder."""
     if not filt.active:
-        return Dashboard(cards_from_marts(detail.sparkSession, database))
-    rolled = rollup(measured(filt.apply(detail), as_of)).persist()
-    return Dashboard(cards_from_rollup(rolled), rolled)
+        return cards_from_marts(detail.sparkSession, database)
+    return cards_from_rollup(checkpointed(rollup(measured(filt.apply(detail), as_of))))
 
 
 def long_form(cards: dict[str, DataFrame]) -> DataFrame:

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import reduce
 from itertools import accumulate
 from math import ceil
-from operator import add
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, sort_column
@@ -54,21 +52,11 @@ def page_info(detail: DataFrame, filt: RequestFilter, page: int = 1, page_size:
     )
 
 
-def _at_or_after(split: Row, column: str, kind: str, descending: bool) -> Column:
-    """The row sorts at or after the split in the list's order."""
-
-    def past(c: Column, v: Column) -> Column:
-        return c < v if descending else c > v
-
-    def reached(name: str, dtype: str, at: object, when_same: Column) -> Column:
-        c = F.col(name)
-        if at is None:
-            return c.isNull() & when_same
-        v = F.lit(str(at)).cast(dtype)
-        return c.isNull() | past(c, v) | ((c == v) & when_same)
-
-    by_id = reached("id_chamado", "string", split["id"], F.lit(True))
-    return F.coalesce(reached(column, kind, split["value"], by_id), F.lit(False))
+def _place_key(column: Column, request: Column, descending: bool) -> Column:
+    """A struct that compares like the list: ascending or descending, NULLs last."""
+    if descending:
+        return F.struct(column.isNotNull(), column, request)
+    return F.struct(column.isNull(), column, request.isNull(), request)
 
 
 def _narrow(
@@ -81,22 +69,38 @@ def _narrow(
     """
     kind = dict(rows.dtypes)[column]
     sampled = (
-        rows.select(F.col(column).alias("value"), F.col("id_chamado").alias("id"), column, "id_chamado")
+        rows.select(F.col(column).alias("value"), "id_chamado", column)
         .sample(fraction=min(1.0, 40.0 * _SPLITS / total), seed=7)
         .orderBy(*ordering(column, "desc" if descending else "asc"))
-        .select("value", "id")
+        .select("value", "id_chamado")
         .collect()
     )
-    splits = sampled[:: max(1, len(sampled) // _SPLITS)]
-    if not splits:
+    if not sampled:
         return rows, offset, total
-    place = reduce(add, (_at_or_after(s, column, kind, descending).cast("int") for s in splits))
-    counts = dict(rows.groupBy(place.alias("place")).count().collect())
+
+    def literal(value: object, dtype: str) -> Column:
+        return F.lit(None if value is None else str(value)).cast(dtype)
+
+    splits = [
+        _place_key(literal(r["value"], kind), literal(r["id_chamado"], "string"), descending)
+        for r in sampled[:: max(1, len(sampled) // _SPLITS)]
+    ]
+    key = _place_key(F.col(column), F.col("id_chamado"), descending)
+
+    def reached(k: Column, split: Column) -> Column:
+        return k <= split if descending else k >= split
+
+    passed = F.size(F.filter(F.array(*splits), lambda s: reached(key, s)))
+    counts = dict(rows.groupBy(passed.alias("passed")).count().collect())
     ends = list(accumulate(counts.get(i, 0) for i in range(len(splits) + 1)))
     first = bisect_right(ends, offset)
     last = min(bisect_right(ends, offset + size - 1), len(splits))
+    if first > 0:
+        rows = rows.where(reached(key, splits[first - 1]))
+    if last < len(splits):
+        rows = rows.where(~reached(key, splits[last]))
     before = ends[first - 1] if first else 0
-    return rows.where(place.between(first, last)), offset - before, ends[last] - before
+    return rows, offset - before, ends[last] - before
 
 
 def list_page(
