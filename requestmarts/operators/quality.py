@@ -58,25 +58,37 @@ CONTRACT: tuple[tuple[str, str, str], ...] = (
 
 
 def _failures(table: str, df: DataFrame, checks: list[tuple[str, str]]) -> list[DataFrame]:
-    out = []
-    required = [c for c, check in checks if check == "not_null"]
-    if required:
-        out.append(
-            check_not_null(df, required).select("column", F.lit("not_null").alias("check"), "failures")
-        )
+    """One pass for all not-null and accepted-value checks, one per unique check."""
+    in_one_pass = {}
     for column, check in checks:
-        if check == "unique":
-            offending = check_unique(df, [column])
+        if check == "not_null":
+            in_one_pass[column, check] = F.count_if(F.col(column).isNull())
         elif check == "accepted_values":
-            offending = check_accepted(df, column, DEPARTMENTS)
-        else:
-            continue
-        out.append(
-            offending.agg(F.count(F.lit(1)).alias("failures")).select(
-                F.lit(column).alias("column"), F.lit(check).alias("check"), "failures"
+            unknown = F.when(~F.col(column).isin(*DEPARTMENTS), F.col(column))
+            in_one_pass[column, check] = F.count_distinct(unknown)
+    passes = []
+    if in_one_pass:
+        counts = df.agg(*(c.alias(f"{column} {check}") for (column, check), c in in_one_pass.items()))
+        passes.append((counts, list(in_one_pass)))
+    for column, check in checks:
+        if check == "unique":
+            n = F.count(F.lit(1)).alias(f"{column} {check}")
+            passes.append((check_unique(df, [column]).agg(n), [(column, check)]))
+    out = []
+    for counts, names in passes:
+        rows = F.array(
+            *(
+                F.struct(
+                    F.lit(table).alias("table"),
+                    F.lit(column).alias("column"),
+                    F.lit(check).alias("check"),
+                    F.col(f"`{column} {check}`").alias("failures"),
+                )
+                for column, check in names
             )
         )
-    return [df.select(F.lit(table).alias("table"), "column", "check", "failures") for df in out]
+        out.append(counts.select(F.inline(rows)))
+    return out
 
 
 def run_contract(tables: dict[str, DataFrame]) -> DataFrame:

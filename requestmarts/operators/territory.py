@@ -80,18 +80,36 @@ def polygon_cells(areas: DataFrame) -> DataFrame:
 _PREFERENCE = ("subprefeitura", "id_bairro", "regiao_administrativa", "area_planejamento")
 
 
+def _candidates(cells: DataFrame) -> DataFrame:
+    """One row per cell with its polygons in order of preference."""
+    place = ", ".join(f"{c} is null as no_{c}, {c}" for c in _PREFERENCE)
+    entry = f"struct(struct({place}) as place, whole, edges)"
+    return cells.groupBy("level", "cx", "cy").agg(
+        F.expr(f"sort_array(collect_list({entry}))").alias("polygons")
+    )
+
+
 @dataclass(frozen=True)
 class TerritoryLookup:
-    """Neighbourhoods prepared for both ways of finding a request's territory."""
+    """Neighbourhoods prepared for both ways of finding a request's territory.
+
+    ``candidates`` is there only if everything fits in a broadcast.
+    """
 
     by_id: DataFrame
     cells: DataFrame
     levels: tuple[int, ...]
-    small: bool
+    candidates: DataFrame | None
+
+    @property
+    def small(self) -> bool:
+        return self.candidates is not None
 
     def close(self) -> None:
         """Release the cached grid."""
         self.cells.unpersist()
+        if self.candidates is not None:
+            self.candidates.unpersist()
 
 
 def territory_lookup(
@@ -102,17 +120,17 @@ def territory_lookup(
     The grid is cached: one aggregate over it tells the levels in use and whether
     everything fits in a broadcast, then the lookups read it.
     """
-    with_polygon = areas.where(F.col("geometry_wkt").isNotNull())
-    by_id = with_polygon.where(F.col("id_bairro").isNotNull()).select(
+    by_id = areas.where("geometry_wkt is not null and id_bairro is not null").select(
         "id_bairro", *TERRITORY_COLUMNS
     )
     cells = polygon_cells(areas).persist()
     found = cells.agg(
         F.sort_array(F.collect_set("level")).alias("levels"),
-        F.coalesce(F.sum(_CELL_BYTES + _EDGE_BYTES * F.size("edges").cast("bigint")), F.lit(0)).alias("n"),
+        F.expr(f"coalesce(sum({_CELL_BYTES} + {_EDGE_BYTES} * size(edges)), 0)").alias("n"),
     ).first()
     small = found["n"] + measured_bytes(by_id) <= max_broadcast_bytes
-    return TerritoryLookup(by_id, cells, tuple(found["levels"]), small)
+    candidates = _candidates(cells).persist() if small else None
+    return TerritoryLookup(by_id, cells, tuple(found["levels"]), candidates)
 
 
 def geo_by_id(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
@@ -202,16 +220,6 @@ def resolve_by_request(requests: DataFrame, lookup: TerritoryLookup) -> DataFram
     return attach_territory(requests, unify_geo(by_id, by_point))
 
 
-def _candidates(cells: DataFrame, level: int, name: str) -> DataFrame:
-    """One row per cell with its polygons in order of preference."""
-    place = ", ".join(f"{c} is null as no_{c}, {c}" for c in _PREFERENCE)
-    return (
-        cells.where(F.col("level") == level)
-        .groupBy(F.col("cx").alias(f"{name}_cx"), F.col("cy").alias(f"{name}_cy"))
-        .agg(F.expr(f"sort_array(collect_list(struct(struct({place}) as place, whole, edges)))").alias(name))
-    )
-
-
 def resolve_by_row(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     """Territory without moving a request row: all lookups are map-side joins.
 
@@ -226,13 +234,15 @@ def resolve_by_row(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     firsts = []
     for i, level in enumerate(lookup.levels):
         name, size = f"_polygons_{i}", _cell_size(level)
+        keys = [f"{name}_cx", f"{name}_cy"]
+        polygons = lookup.candidates.where(F.col("level") == level).selectExpr(
+            f"cx as {keys[0]}", f"cy as {keys[1]}", f"polygons as {name}"
+        )
         out = out.selectExpr(
             "*",
-            f"case when _by_id is null then {_cell_of('longitude', size)} end as {name}_cx",
-            f"case when _by_id is null then {_cell_of('latitude', size)} end as {name}_cy",
-        ).join(
-            F.broadcast(_candidates(lookup.cells, level, name)), [f"{name}_cx", f"{name}_cy"], "left"
-        )
+            f"case when _by_id is null then {_cell_of('longitude', size)} end as {keys[0]}",
+            f"case when _by_id is null then {_cell_of('latitude', size)} end as {keys[1]}",
+        ).join(F.broadcast(polygons), keys, "left")
         inside = strictly_inside("p.edges", "longitude", "latitude")
         firsts.append(f"get(filter({name}, p -> p.whole or {inside}), 0).place")
     if not firsts:

@@ -1,0 +1,171 @@
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from requestmarts.functions.geometry import strictly_inside, wkt_edges
+from requestmarts.operators import territory as T
+from tests import helpers as H
+
+HOLED = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"
+TWO_PARTS = "MULTIPOLYGON (((20 0, 22 0, 22 2, 20 2, 20 0)), ((30 0, 34 0, 30 4, 30 0)))"
+
+
+def lookups(spark, rows):
+    """The same areas prepared for broadcast and for shuffled joins."""
+    staged = H.areas(spark, rows)
+    return T.territory_lookup(staged), T.territory_lookup(staged, max_broadcast_bytes=0)
+
+
+def resolved(requests, lookup, **kwargs):
+    out = T.resolve_territory(requests, lookup, **kwargs).select("id_chamado", *T.TERRITORY_COLUMNS)
+    return H.rows_of(out)
+
+
+def everywhere(requests, small, large):
+    """All ways of resolving must agree; returns {id: sub-prefecture}."""
+    answers = [
+        resolved(requests, small),
+        resolved(requests, small, unique_ids=False),
+        resolved(requests, large),
+    ]
+    assert answers[0] == answers[1] == answers[2]
+    return {row[0]: row[1] for row in answers[0]}
+
+
+def points(spark, xy, **extra):
+    return H.requests(spark, [{"longitude": x, "latitude": y, **extra} for x, y in xy])
+
+
+@pytest.mark.parametrize(
+    "x, y, inside",
+    [
+        (1, 1, True),
+        (4, 4, False),  # in the hole
+        (3, 4, False),  # on the hole's edge
+        (0, 5, False),  # on an edge
+        (0, 0, False),  # on a corner
+        (10, 10, False),
+        (11, 5, False),
+        (7, 6, True),  # level with the hole's corner
+        (21, 1, True),
+        (31, 1, True),
+        (32, 2, False),  # on the slanted edge
+        (33, 2, False),
+        (25, 1, False),  # between the parts
+    ],
+)
+def test_strictly_inside(spark, x, y, inside):
+    small, large = lookups(spark, [("1", "A", HOLED), ("2", "B", TWO_PARTS)])
+    got = everywhere(points(spark, [(x, y)]), small, large)
+    assert (got["1"] is not None) == inside
+
+
+def test_random_points_match_brute_force(spark):
+    """Slanted star polygons of very different sizes against an all-pairs test."""
+    rng = random.Random(11)
+    shapes = []
+    for i in range(30):
+        cx, cy, radius = rng.uniform(-50, 50), rng.uniform(-50, 50), 10 ** rng.uniform(-2, 1.5)
+        ring = []
+        for k in range(rng.randint(3, 40)):
+            ring.append((k, rng.uniform(0.3, 1) * radius))
+        corners = [(cx + r * math.cos(2 * math.pi * k / len(ring)), cy + r * math.sin(2 * math.pi * k / len(ring))) for k, r in ring]
+        text = ", ".join(f"{x!r} {y!r}" for x, y in [*corners, corners[0]])
+        shapes.append((str(i), f"S{rng.randint(0, 5)}", f"POLYGON (({text}))"))
+    areas = H.areas(spark, shapes)
+    near = [(cx + rng.gauss(0, 0.5), cy + rng.gauss(0, 0.5)) for _, _, w in shapes for cx, cy in [tuple(map(float, w[10:].split(",")[0].split()))] for _ in range(8)]
+    requests = points(spark, near + [(rng.uniform(-60, 60), rng.uniform(-60, 60)) for _ in range(300)])
+    lookup = T.territory_lookup(areas)
+    assert len(lookup.levels) > 2
+    edges = areas.select("id_bairro", F.expr(wkt_edges("geometry_wkt")).alias("edges"))
+    brute = (
+        requests.select("id_chamado", "longitude", "latitude")
+        .join(edges, F.expr(strictly_inside("edges", "longitude", "latitude")))
+        .select("id_chamado", "id_bairro")
+    )
+    pairs = T.geo_pairs(requests, lookup).select("id_chamado", "id_bairro")
+    assert H.rows_of(pairs) == H.rows_of(brute)
+    assert pairs.count() > 100
+    everywhere(requests, lookup, T.territory_lookup(areas, max_broadcast_bytes=0))
+
+
+def test_overlap_takes_the_smallest_subprefecture(spark):
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    small, large = lookups(spark, [("1", "Z", square), ("2", "B", square), ("3", None, square), ("0", "B", square)])
+    requests = points(spark, [(1, 1)])
+    assert everywhere(requests, small, large) == {"1": "B"}
+    assert resolved(requests, small)[0][2] == "RA 0"
+    assert T.geo_pairs(requests, small).count() == 4
+
+
+def test_id_without_polygon_goes_to_the_point(spark):
+    small, large = lookups(spark, [("1", "A", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), ("2", "B", None)])
+    requests = H.requests(
+        spark,
+        [
+            {"id_bairro": "2", "longitude": 1, "latitude": 1},
+            {"id_bairro": "1", "longitude": 50, "latitude": 50},
+            {"id_bairro": "2"},
+            {"id_bairro": None, "longitude": 1, "latitude": 1},
+            {"id_bairro": "9", "longitude": 1},
+        ],
+    )
+    assert everywhere(requests, small, large) == {"1": "A", "2": "A", "3": None, "4": "A", "5": None}
+    assert {r["id_chamado"] for r in T.geo_pending(requests, small).collect()} == {"1", "4"}
+
+
+def test_repeated_neighbourhood_id_fans_out(spark):
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    small, large = lookups(spark, [("1", "A", square), ("1", "B", square)])
+    requests = H.requests(spark, [{"id_bairro": "1"}])
+    for lookup in (small, large):
+        assert [row[1] for row in resolved(requests, lookup)] == ["A", "B"]
+
+
+def test_repeated_request_ids_share_their_territories(spark):
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    small, _ = lookups(spark, [("1", "A", square), ("2", "B", None)])
+    requests = H.requests(
+        spark,
+        [{"id_chamado": "x", "id_bairro": "1"}, {"id_chamado": "x", "longitude": 1, "latitude": 1}],
+    )
+    assert [row[1] for row in resolved(requests, small, unique_ids=False)] == ["A", "A"]
+
+
+@pytest.mark.parametrize(
+    "wkt", ["POLYGON EMPTY", "LINESTRING (0 0, 2 2)", "POINT (1 1)", "POLYGON ((1 1, 1 1, 1 1))"]
+)
+def test_shapes_without_interior_hold_nothing(spark, wkt):
+    small, large = lookups(spark, [("1", "A", wkt)])
+    assert everywhere(points(spark, [(1, 1)]), small, large) == {"1": None}
+
+
+def test_wkt_spelling(spark):
+    small, _ = lookups(spark, [("1", "A", "polygon((0 0,\n 2e0 0 ,2 2, 0 2,0 0))")])
+    assert resolved(points(spark, [(1, 1)]), small)[0][1] == "A"
+
+
+def test_not_a_number_is_nowhere(spark):
+    square = "POLYGON ((-2 -2, 2 -2, 2 2, -2 2, -2 -2))"
+    small, large = lookups(spark, [("1", "A", square)])
+    assert everywhere(points(spark, [("NaN", 0.1), (0.1, "NaN"), ("Infinity", 0.1), (0.1, 0.1)]), small, large) == {
+        "1": None, "2": None, "3": None, "4": "A",
+    }
+
+
+def test_no_areas_at_all(spark):
+    small, _ = lookups(spark, [("1", "A", None)])
+    assert everywhere(points(spark, [(1, 1)], id_bairro="1"), small, small) == {"1": None}
+
+
+def test_hot_point_and_hot_id(spark):
+    """A third of the rows on one neighbourhood, a third on one point."""
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
+    small, large = lookups(spark, [("1", "A", square), ("2", "B", square.replace("2", "3"))])
+    hot = [{"id_bairro": "2"}] * 300 + [{"longitude": 1, "latitude": 1}] * 300 + [{}] * 300
+    got = everywhere(H.requests(spark, hot), small, large)
+    assert sorted(map(str, got.values())) == ["A"] * 300 + ["B"] * 300 + ["None"] * 300
