@@ -28,7 +28,9 @@ def session(app_name: str = "requestmarts", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, **extra: str
+) -> SparkSession:
     """Single-machine session for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -40,7 +42,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -15,7 +15,7 @@ TEST_DATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    return local_session(8, shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,6 @@ from __future__ import annotations
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from requestmarts.functions.geometry import strictly_inside, wkt_edges
@@ -40,9 +39,8 @@ def points(spark, xy, **extra):
     return H.requests(spark, [{"longitude": x, "latitude": y, **extra} for x, y in xy])
 
 
-@pytest.mark.parametrize(
-    "x, y, inside",
-    [
+def test_strictly_inside(spark):
+    cases = [
         (1, 1, True),
         (4, 4, False),  # in the hole
         (3, 4, False),  # on the hole's edge
@@ -56,12 +54,10 @@ def points(spark, xy, **extra):
         (32, 2, False),  # on the slanted edge
         (33, 2, False),
         (25, 1, False),  # between the parts
-    ],
-)
-def test_strictly_inside(spark, x, y, inside):
+    ]
     small, large = lookups(spark, [("1", "A", HOLED), ("2", "B", TWO_PARTS)])
-    got = everywhere(points(spark, [(x, y)]), small, large)
-    assert (got["1"] is not None) == inside
+    got = everywhere(points(spark, [(x, y) for x, y, _ in cases]), small, large)
+    assert [got[str(i)] is not None for i in range(1, len(cases) + 1)] == [inside for *_, inside in cases]
 
 
 def test_random_points_match_brute_force(spark):
@@ -136,17 +132,12 @@ def test_repeated_request_ids_share_their_territories(spark):
     assert [row[1] for row in resolved(requests, small, unique_ids=False)] == ["A", "A"]
 
 
-@pytest.mark.parametrize(
-    "wkt", ["POLYGON EMPTY", "LINESTRING (0 0, 2 2)", "POINT (1 1)", "POLYGON ((1 1, 1 1, 1 1))"]
-)
-def test_shapes_without_interior_hold_nothing(spark, wkt):
-    small, large = lookups(spark, [("1", "A", wkt)])
-    assert everywhere(points(spark, [(1, 1)]), small, large) == {"1": None}
-
-
-def test_wkt_spelling(spark):
-    small, _ = lookups(spark, [("1", "A", "polygon((0 0,\n 2e0 0 ,2 2, 0 2,0 0))")])
-    assert resolved(points(spark, [(1, 1)]), small)[0][1] == "A"
+def test_shapes_without_interior_and_spelling(spark):
+    flat = ["POLYGON EMPTY", "LINESTRING (0 0, 2 2)", "POINT (1 1)", "POLYGON ((1 1, 1 1, 1 1))", None]
+    spelled = "polygon((4 0,\n 6e0 0 ,6 2, 4 2,4 0))"
+    rows = [(str(i), "A", wkt) for i, wkt in enumerate(flat)] + [("9", "B", spelled)]
+    small, large = lookups(spark, rows)
+    assert everywhere(points(spark, [(1, 1), (5, 1)]), small, large) == {"1": None, "2": "B"}
 
 
 def test_not_a_number_is_nowhere(spark):
