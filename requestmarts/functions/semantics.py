@@ -10,28 +10,24 @@ from pyspark.sql import functions as F
 from requestmarts.schema import OTHER_DEPARTMENT
 
 
-def round_half_away(x: Column, digits: int) -> Column:
-    """Scale, round halves away from zero, scale back.
+def round_half_away(x: str, digits: int) -> str:
+    """Scale, round halves away from zero, scale back, as SQL text.
 
-    ``F.round(x, digits)`` works on the decimal text of ``x`` (1.005 -> 1.01).
+    ``round(x, digits)`` works on the decimal text of ``x`` (1.005 -> 1.01).
     Rounding the scaled double to zero digits gives the usual double result.
     """
-    scale = F.lit(10.0**digits)
-    return F.round(x * scale, 0) / scale
+    scale = f"{10**digits}D"
+    return f"(round({x} * {scale}, 0) / {scale})"
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """``num / den`` as double, NULL on a zero denominator (ANSI would raise)."""
-    return num.cast("double") / F.nullif(den, F.lit(0)).cast("double")
+def pct(num: str, den: str, digits: int) -> Column:
+    """Percentage of two SQL expressions as double, NULL on a zero denominator."""
+    return F.expr(round_half_away(f"(100D * {num} / nullif({den}, 0))", digits))
 
 
-def pct(num: Column, den: Column, digits: int) -> Column:
-    num = F.lit(100.0) * num.cast("double")
-    return round_half_away(ratio(num, den), digits)
-
-
-def mean(total: Column, n: Column, digits: int) -> Column:
-    return round_half_away(ratio(total, n), digits)
+def mean(total: str, n: str, digits: int) -> Column:
+    """Mean from a sum and a count, as double, NULL over nothing."""
+    return F.expr(round_half_away(f"(cast({total} as double) / nullif({n}, 0))", digits))
 
 
 def department(c: Column) -> Column:

@@ -20,46 +20,29 @@ VOLUME_DIMENSIONS = ("secretaria", "tipo", "categoria", "periodo")
 DIMENSIONS = tuple(dict.fromkeys((*TERRITORY_DIMENSIONS, *VOLUME_DIMENSIONS)))
 
 
-def _counters(as_of: dt.date | str | None) -> dict[str, Column]:
-    closed = F.col("data_fim").isNotNull()
-    age = F.when(~closed, S.open_age_days(as_of))
-    one = F.lit(1).cast("bigint")
-
-    def counted(condition: Column) -> Column:
-        return F.when(condition, one).otherwise(F.lit(0).cast("bigint"))
-
-    return {
-        "n": one,
-        "n_closed": counted(closed),
-        "n_open": counted(~closed),
-        "n_with_deadline": counted(S.closed_with_deadline()),
-        "n_on_time": counted(F.col("resolvido_no_prazo")),
-        "n_late": counted(S.is_late()),
-        "n_no_deadline": counted(closed & F.col("prazo_atendimento").isNull()),
-        "days_sum": F.coalesce(F.col("dias_resolucao"), F.lit(0).cast("bigint")),
-        "days_n": counted(F.col("dias_resolucao").isNotNull()),
-        "age_sum": F.coalesce(age, F.lit(0).cast("bigint")),
-        "age_n": counted(age.isNotNull()),
-        "complaints_n": counted(F.col("reclamacoes").isNotNull()),
-        "complaints_repeated": counted(F.col("reclamacoes") >= 2),
-    }
-
-
-COUNTERS = (
-    "n",
-    "n_closed",
-    "n_open",
-    "n_with_deadline",
-    "n_on_time",
-    "n_late",
-    "n_no_deadline",
-    "days_sum",
-    "days_n",
-    "age_sum",
-    "age_n",
-    "complaints_n",
-    "complaints_repeated",
-)
+def _counted(condition: str) -> str:
+    return f"if({condition}, 1L, 0L)"
+
+
+_WITH_DEADLINE = "data_fim is not null and prazo_atendimento is not null"
+
+# Counter -> SQL over one request; ``age`` is its age in days while it is open.
+_COUNTERS = {
+    "n": "1L",
+    "n_closed": _counted("data_fim is not null"),
+    "n_open": _counted("data_fim is null"),
+    "n_with_deadline": _counted(_WITH_DEADLINE),
+    "n_on_time": _counted("resolvido_no_prazo"),
+    "n_late": _counted(f"{_WITH_DEADLINE} and not resolvido_no_prazo"),
+    "n_no_deadline": _counted("data_fim is not null and prazo_atendimento is null"),
+    "days_sum": "coalesce(dias_resolucao, 0L)",
+    "days_n": _counted("dias_resolucao is not null"),
+    "age_sum": "coalesce({age}, 0L)",
+    "age_n": _counted("data_fim is null and data_inicio is not null"),
+    "complaints_n": _counted("reclamacoes is not null"),
+    "complaints_repeated": _counted("reclamacoes >= 2"),
+}
+COUNTERS = tuple(_COUNTERS)
 
 # Columns an older detail table may lack; its cards then come out empty.
 _OPTIONAL = {
@@ -74,21 +57,22 @@ def measured(detail: DataFrame, as_of: dt.date | str | None = None) -> DataFrame
     if missing:
         detail = detail.withColumns(missing)
     period = S.month_of(F.col("data_inicio")).alias("periodo")
-    counters = _counters(as_of)
+    as_of_day = "current_date()" if as_of is None else f"date'{as_of}'"
+    age = f"if(data_fim is null, cast(datediff({as_of_day}, data_inicio) as bigint), null)"
     return detail.select(
         *(period if d == "periodo" else F.col(d) for d in DIMENSIONS),
-        *(counters[c].alias(c) for c in COUNTERS),
+        *(F.expr(sql.format(age=age)).alias(c) for c, sql in _COUNTERS.items()),
         F.col("data_particao").alias("newest_partition"),
     )
 
 
 def total(counter: str) -> Column:
     """Sum of a counter; zero, not NULL, over no rows."""
-    return F.coalesce(F.sum(counter), F.lit(0).cast("bigint"))
+    return F.expr(f"coalesce(sum({counter}), 0L)")
 
 
 def on_time_rate() -> Column:
-    return S.pct(F.sum("n_on_time"), F.sum("n_with_deadline"), 2)
+    return S.pct("sum(n_on_time)", "sum(n_with_deadline)", 2)
 
 
 def rollup(m: DataFrame) -> DataFrame:

@@ -33,10 +33,18 @@ def _check_paging(page: int, page_size: int, sort_order: str) -> None:
 
 def ordering(sort_by: str | None, sort_order: str) -> list[Column]:
     """The asked column, NULLs last, then the request id so that pages never overlap."""
-    column = sort_column(sort_by)
+    columns = (F.col(sort_column(sort_by)), F.col("id_chamado"))
     if sort_order == "desc":
-        return [F.col(column).desc_nulls_last(), F.col("id_chamado").desc_nulls_last()]
-    return [F.col(column).asc_nulls_last(), F.col("id_chamado").asc_nulls_last()]
+        return [c.desc_nulls_last() for c in columns]
+    return [c.asc_nulls_last() for c in columns]
+
+
+def _from_the_end(sort_by: str | None, sort_order: str) -> list[Column]:
+    """The same order read backwards."""
+    columns = (F.col(sort_column(sort_by)), F.col("id_chamado"))
+    if sort_order == "desc":
+        return [c.asc_nulls_first() for c in columns]
+    return [c.desc_nulls_first() for c in columns]
 
 
 def page_info(detail: DataFrame, filt: RequestFilter, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -114,23 +122,29 @@ def list_page(
 ) -> DataFrame:
     """One page of the filtered, sorted list. A page past the end is the last one.
 
-    A page near the start is a top-k: each task keeps only its best rows. Further
-    on the list is first narrowed to the ranges around the page, since a top-k
-    would have to hold every row before it.
+    A page near either end is a top-k: each task keeps only its best rows. One in
+    the middle is first narrowed to the ranges around it, since a top-k would have
+    to hold every row before it.
     """
     _check_paging(page, page_size, sort_order)
     rows = filt.apply(detail).select(*LIST_COLUMNS)
-    column = sort_column(sort_by)
-    offset = 0
-    if page > 1:
-        total = rows.count()
-        offset = (min(page, max(1, ceil(total / page_size))) - 1) * page_size
-        while offset + page_size > direct_rows:
-            narrowed, near, left = _narrow(rows, column, sort_order == "desc", offset, page_size, total)
-            if left == total:
-                break
-            rows, offset, total = narrowed, near, left
-    return rows.orderBy(*ordering(column, sort_order)).offset(offset).limit(page_size)
+    order = ordering(sort_by, sort_order)
+    if page == 1:
+        return rows.orderBy(*order).limit(page_size)
+    total = rows.count()
+    offset = (min(page, max(1, ceil(total / page_size))) - 1) * page_size
+    size = min(page_size, total - offset)
+    column, descending = sort_column(sort_by), sort_order == "desc"
+    while min(offset, total - offset - size) + size > direct_rows:
+        narrowed, near, left = _narrow(rows, column, descending, offset, size, total)
+        if left == total:
+            break
+        rows, offset, total = narrowed, near, left
+    after = total - offset - size
+    if after < offset:
+        backwards = rows.orderBy(*_from_the_end(sort_by, sort_order)).offset(after).limit(size)
+        return backwards.orderBy(*order)
+    return rows.orderBy(*order).offset(offset).limit(size)
 
 
 def distinct_values(detail: DataFrame, column: str, filt: RequestFilter) -> DataFrame:

@@ -48,7 +48,7 @@ def kpis_filtered(m: DataFrame) -> DataFrame:
         total("n_closed").alias("total_resolvidos"),
         total("n_open").alias("chamados_abertos"),
         on_time_rate().alias("taxa_resolucao_prazo"),
-        S.mean(F.sum("days_sum"), F.sum("days_n"), 2).alias("tempo_medio_resolucao_dias"),
+        S.mean("sum(days_sum)", "sum(days_n)", 2).alias("tempo_medio_resolucao_dias"),
     )
 
 
@@ -60,7 +60,7 @@ def kpi_response(kpi: DataFrame) -> DataFrame:
 def backlog(m: DataFrame) -> DataFrame:
     return m.agg(
         total("n_open").alias("chamados_abertos"),
-        S.mean(F.sum("age_sum"), F.sum("age_n"), 1).alias("idade_media_aberto_dias"),
+        S.mean("sum(age_sum)", "sum(age_n)", 1).alias("idade_media_aberto_dias"),
     )
 
 
@@ -167,9 +167,13 @@ def late_by_unit(m: DataFrame, column: str) -> DataFrame:
         )
         .groupBy("secretaria", F.col(column).alias(name), F.col("nome_unidade_organizacional").alias("orgao"))
         .agg(total("n_late").alias("chamados_atrasados"))
-        .withColumn("_all", F.sum("chamados_atrasados").over(group))
-        .withColumn("pct_do_atraso", S.pct(F.col("chamados_atrasados"), F.col("_all"), 1))
-        .withColumn("_place", F.row_number().over(group.orderBy(*most_first)))
+        .withColumns(
+            {
+                "_all": F.sum("chamados_atrasados").over(group),
+                "_place": F.row_number().over(group.orderBy(*most_first)),
+            }
+        )
+        .withColumn("pct_do_atraso", S.pct("chamados_atrasados", "_all", 1))
         .where(F.col("_place") <= UNITS_PER_TERRITORY)
         .drop("_all", "_place")
         .orderBy("secretaria", name, *most_first)

@@ -42,7 +42,8 @@ def operators(df) -> list[str]:
     names, cached = [], None
     for line in text.splitlines():
         indent = re.match(r"[ :+-]*(\*\(\d+\) )?", line).end()
-        if cached is not None and indent > cached:
+        unindented = indent == 0 and names  # rest of a literal with a line break
+        if unindented or (cached is not None and indent > cached):
             continue
         cached = indent if line[indent:].startswith("InMemoryRelation") else None
         names.append(line[indent:])
