@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, sort_column
@@ -19,7 +18,7 @@ MAX_PAGE_SIZE = 100
 
 # Rows a task may hold to find a page directly; deeper pages are narrowed first.
 DIRECT_ROWS = 100_000
-_SPLITS = 64
+_SPLITS = 32
 
 
 def _check_paging(page: int, page_size: int, sort_order: str) -> None:
@@ -60,11 +59,19 @@ def page_info(detail: DataFrame, filt: RequestFilter, page: int = 1, page_size:
     )
 
 
-def _place_key(column: Column, request: Column, descending: bool) -> Column:
-    """A struct that compares like the list: ascending or descending, NULLs last."""
-    if descending:
-        return F.struct(column.isNotNull(), column, request)
-    return F.struct(column.isNull(), column, request.isNull(), request)
+def _reached(split: Row, column: str, kind: str, descending: bool) -> Column:
+    """The row stands at or after the split in the list, where NULLs stand last."""
+
+    def compared(name: str, dtype: str, at: object, when_same: Column) -> Column:
+        c = F.col(name)
+        if at is None:
+            return c.isNull() & when_same
+        v = F.lit(str(at)).cast(dtype)
+        past = c < v if descending else c > v
+        return c.isNull() | past | ((c == v) & when_same)
+
+    by_id = compared("id_chamado", "string", split["id_chamado"], F.lit(True))
+    return compared(column, kind, split["value"], by_id)
 
 
 def _narrow(
@@ -83,32 +90,20 @@ def _narrow(
         .select("value", "id_chamado")
         .collect()
     )
-    if not sampled:
+    splits = sampled[:: max(1, len(sampled) // _SPLITS)]
+    if not splits:
         return rows, offset, total
-
-    def literal(value: object, dtype: str) -> Column:
-        return F.lit(None if value is None else str(value)).cast(dtype)
-
-    splits = [
-        _place_key(literal(r["value"], kind), literal(r["id_chamado"], "string"), descending)
-        for r in sampled[:: max(1, len(sampled) // _SPLITS)]
-    ]
-    key = _place_key(F.col(column), F.col("id_chamado"), descending)
-
-    def reached(k: Column, split: Column) -> Column:
-        return k <= split if descending else k >= split
-
-    passed = F.size(F.filter(F.array(*splits), lambda s: reached(key, s)))
-    counts = dict(rows.groupBy(passed.alias("passed")).count().collect())
-    ends = list(accumulate(counts.get(i, 0) for i in range(len(splits) + 1)))
-    first = bisect_right(ends, offset)
-    last = min(bisect_right(ends, offset + size - 1), len(splits))
+    reached = [_reached(s, column, kind, descending) for s in splits]
+    counts = rows.agg(*(F.count_if(r).alias(f"n{i}") for i, r in enumerate(reached))).first()
+    before = [total - n for n in counts]
+    first = bisect_right(before, offset)
+    last = bisect_left(before, offset + size)
+    start, end = 0, total
     if first > 0:
-        rows = rows.where(reached(key, splits[first - 1]))
+        rows, start = rows.where(reached[first - 1]), before[first - 1]
     if last < len(splits):
-        rows = rows.where(~reached(key, splits[last]))
-    before = ends[first - 1] if first else 0
-    return rows, offset - before, ends[last] - before
+        rows, end = rows.where(~reached[last]), before[last]
+    return rows, offset - start, end - start
 
 
 def list_page(
