@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter
@@ -81,6 +82,13 @@ def dashboard(
     return cards_from_rollup(checkpointed(rollup(measured(filt.apply(detail), as_of))))
 
 
+def collected(cards: dict[str, DataFrame], at_once: int = 4) -> dict[str, list[Row]]:
+    """The rows of every card. Cards are independent small jobs, so several run at
+    once; their rows are rankings and group totals, never requests."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(cards, pool.map(lambda df: df.collect(), cards.values())))
+
+
 def long_form(cards: dict[str, DataFrame]) -> DataFrame:
     """All cards as (card, key1, key2, key3, metric, value), one row per number."""
     out = None
