@@ -19,8 +19,12 @@ from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, lookup_join, mea
 from requestmarts.schema import TERRITORY_COLUMNS
 
 _CELLS_PER_EXTENT = 16
-_EDGE_BYTES = 40
-_CELL_BYTES = 256
+
+# Size of a cell entry in memory: fixed part, edges and texts.
+_ENTRY_BYTES = " + ".join(
+    ["160", "40 * size(edges)"]
+    + [f"coalesce(octet_length({c}), 0)" for c in ("id_bairro", *TERRITORY_COLUMNS)]
+)
 
 
 def _cell_size(level: int | str) -> str:
@@ -126,7 +130,7 @@ def territory_lookup(
     cells = polygon_cells(areas).persist()
     found = cells.agg(
         F.sort_array(F.collect_set("level")).alias("levels"),
-        F.expr(f"coalesce(sum({_CELL_BYTES} + {_EDGE_BYTES} * size(edges)), 0)").alias("n"),
+        F.expr(f"coalesce(sum({_ENTRY_BYTES}), 0L)").alias("n"),
     ).first()
     small = found["n"] + measured_bytes(by_id) <= max_broadcast_bytes
     candidates = _candidates(cells).persist() if small else None
@@ -213,13 +217,34 @@ def attach_territory(requests: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def resolve_by_request(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
-    """Territory through ``id_chamado``: exact also if request ids repeat or the
-    neighbourhoods are too many to broadcast, at the price of shuffling by id."""
+    """Territory through ``id_chamado`` alone: exact also if request ids repeat, at
+    the price of shuffling the requests by id several times."""
     by_id = geo_by_id(requests, lookup)
     by_point = geo_by_point(geo_pending_by_request(requests, by_id), lookup)
     return attach_territory(requests, unify_geo(by_id, by_point))
 
 
+def _flagged_by_id(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
+    """Requests with ``_id_*`` territory columns; ``_by_id`` is true where they apply."""
+    by_id = lookup.by_id.selectExpr(
+        "id_bairro", *(f"{c} as _id_{c}" for c in TERRITORY_COLUMNS), "true as _by_id"
+    )
+    return lookup_join(requests, by_id, ["id_bairro"], "left", small=lookup.small)
+
+
+def resolve_by_shuffle(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
+    """Territory where the neighbourhoods are too many to broadcast: salted joins,
+    and only the points' answers are joined back by the unique request id."""
+    flagged = _flagged_by_id(requests, lookup)
+    points = geo_by_point(_located(flagged.where("_by_id is null")), lookup).selectExpr(
+        "id_chamado", *(f"{c} as _point_{c}" for c in TERRITORY_COLUMNS)
+    )
+    return flagged.join(points, "id_chamado", "left").selectExpr(
+        *requests.columns,
+        *(f"case when _by_id then _id_{c} else _point_{c} end as {c}" for c in TERRITORY_COLUMNS),
+    )
+
+
 def resolve_by_row(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     """Territory without moving a request row: all lookups are map-side joins.
 
@@ -227,10 +252,7 @@ def resolve_by_row(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     the first one holding the point is the answer and no per-request ranking is
     needed. Needs a broadcastable lookup and unique request ids.
     """
-    by_id = lookup.by_id.selectExpr(
-        "id_bairro", *(f"{c} as _id_{c}" for c in TERRITORY_COLUMNS), "true as _by_id"
-    )
-    out = requests.join(F.broadcast(by_id), "id_bairro", "left")
+    out = _flagged_by_id(requests, lookup)
     firsts = []
     for i, level in enumerate(lookup.levels):
         name, size = f"_polygons_{i}", _cell_size(level)
@@ -261,6 +283,6 @@ def resolve_territory(
     ``unique_ids`` states the contract the quality checks verify. If it does not
     hold, pass False: rows sharing an id then share their territories.
     """
-    if unique_ids and lookup.small:
-        return resolve_by_row(requests, lookup)
-    return resolve_by_request(requests, lookup)
+    if not unique_ids:
+        return resolve_by_request(requests, lookup)
+    return resolve_by_row(requests, lookup) if lookup.small else resolve_by_shuffle(requests, lookup)

@@ -30,8 +30,9 @@ def everywhere(requests, small, large):
         resolved(requests, small),
         resolved(requests, small, unique_ids=False),
         resolved(requests, large),
+        resolved(requests, large, unique_ids=False),
     ]
-    assert answers[0] == answers[1] == answers[2]
+    assert answers[0] == answers[1] == answers[2] == answers[3]
     return {row[0]: row[1] for row in answers[0]}
 
 
