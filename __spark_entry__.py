@@ -45,6 +45,11 @@ from requestmarts.sources import standin
 from requestmarts.sources.checkpoints import checkpointed
 from requestmarts.sources.landing import extract_requests
 
+try:  # The training-data operators can be left out of an installation.
+    from requestmarts.llm import queries as corpus_queries
+except ImportError:
+    corpus_queries = None
+
 COMMON = RequestFilter(q=" h_G ", data_inicio_from="1997-06-01", data_inicio_to="2001-06-30")
 LISTED = RequestFilter(secretaria="SMS", situacao="Encerrado")
 FAR_PAGE = 10**9
@@ -187,11 +192,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["late_region_by_unit"](spark, "/root/testdata/sf0.001")
 
 
+def request_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries over service requests."""
+    return {name: partial(_run, build) for name, build in _queries().items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """(spark, folder of the test tables) -> frame, for every operator."""
-    return {name: partial(_run, build) for name, build in _queries().items()}
+    return request_queries() | (corpus_queries.queries() if corpus_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries as DuckDB SQL over the test tables."""
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (corpus_queries.oracle_sql() if corpus_queries else {})

@@ -1,22 +1,24 @@
-"""Cutting lineage at small results that many later plans read."""
+"""Cutting lineage at results that many later plans read."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ensure_directory(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a local one only where none is named."""
+def ensure_directory(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named (tests), checkpoints go below the warehouse folder, which
+    every executor reads and writes as well.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="requestmarts-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and keep in reliable storage: survives lost executors, and plans
     over it stay short."""
-    _ensure_directory(df.sparkSession)
+    ensure_directory(df.sparkSession)
     return df.checkpoint(eager=True)

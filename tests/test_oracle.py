@@ -8,11 +8,11 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = ("orders", "customer", "nation")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.request_queries(), entry.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 @pytest.fixture(scope="module")
