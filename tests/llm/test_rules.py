@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+from requestmarts.llm import rules
+from tests.llm.helpers import awkward, documents, rows
+
+W = r"[^\x20\x09-\x0D]+"
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(W, text)
+    lines = [x for x in text.split("\n") if re.search(W, x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(grams)
+    hit = {j for i, g in enumerate(grams) if times[g] > 1 for j in range(i, i + 3)}
+    return (len(words), len("".join(words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit))
+
+
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_measurements_equal_brute_force(spark):
+    given = awkward() + [(40, "a b c a b c\nx\nx\n\nx"), (41, "q w\nq w\nq w"), (42, "a a a a")]
+    found = rows(rules.ledger(documents(spark, given)))
+    assert sorted(((r["doc_id"], *(r[f] for f in FIELDS)) for r in found), key=str) == sorted(
+        ((i, *brute(t)) for i, t in given), key=str
+    )
+
+
+def test_policies_read_the_bits_alone(spark):
+    bits = spark.createDataFrame([(0,), (1,), (2,), (4,), (32,), (36,)], "failed_bits long")
+    kept = lambda v: [r.kept for r in rules.apply_policy(bits, v).orderBy("failed_bits").collect()]
+    assert kept("base-1") == [True, False, False, True, True, True]
+    assert kept("web-1") == [True, False, False, False, True, False]
+    assert kept("web-2") == [True, False, False, False, False, False]
+
+
+def test_ablations_equal_a_recount(spark, sf_dir):
+    ledger = rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    masks = [r.failed_bits for r in ledger.select("failed_bits").collect()]
+    found = {(r["policy"], r["rule"]): r for r in rows(rules.ablations(ledger))}
+    assert len(found) == sum(map(len, rules.POLICIES.values()))
+    for version, names in rules.POLICIES.items():
+        for rule in (r for r in rules.RULES if r.name in names):
+            hits = [m & rules.mask(names) for m in masks]
+            row = found[version, rule.name]
+            assert row["failed"] == sum(bool(h >> rule.bit & 1) for h in hits)
+            assert row["failed_only_this"] == sum(h == 1 << rule.bit for h in hits)
+            assert row["kept"] == sum(h == 0 for h in hits)
+            assert row["kept_without"] == sum(h in (0, 1 << rule.bit) for h in hits)
+
+
+def test_main_path_runs_no_python(spark, sf_dir):
+    df = rules.apply_policy(rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_empty_table(spark):
+    assert rows(rules.apply_policy(rules.ledger(documents(spark, [])))) == []
