@@ -214,14 +214,32 @@ def covered_words(runs: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+def hit_words(runs: DataFrame) -> DataFrame:
+    """(key, n_hit): words of each text under benchmark windows."""
+    return runs.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")).select(
+        "key", covered_words("runs").alias("n_hit")
+    )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, that are not contaminated."""
+    hits = hit_words(contamination(docs, benchmark))
+    n_words = F.expr(f"regexp_count(text, '{WORD}')")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # Few texts are hit, so what is joined by text is the list of contaminated ones.
+    hits = checkpointed(hits)
+    found = docs.select("text").join(hits, key == F.col("key")).where(HIT_SHARE * F.col("n_hit") >= n_words)
+    bad = found.select(F.col("key").alias("_key")).distinct()
+    return docs.join(bad, key == F.col("_key"), "left_anti")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Id, words, words under benchmark windows, items found and the verdict, for every row."""
-    runs = contamination(docs, benchmark)
-    ids = _keyed(benchmark, "item_id").select(F.col("key").alias("item_key"), F.col("item_id").cast("string"))
     # One row for each text and item, read twice.
-    runs = checkpointed(runs)
+    runs = checkpointed(contamination(docs, benchmark))
+    ids = _keyed(benchmark, "item_id").select(F.col("key").alias("item_key"), F.col("item_id").cast("string"))
     named = runs.join(ids.distinct(), "item_key").groupBy("key").agg(F.collect_set("item_id").alias("items"))
-    covered = runs.groupBy("key").agg(covered_words(F.flatten(F.collect_list("runs"))).alias("n_hit"))
+    covered = hit_words(runs)
     rows = _keyed(docs, id_column).select(
         id_column, "key", F.expr(f"cast(regexp_count(text, '{WORD}') as bigint)").alias("n_words")
     )

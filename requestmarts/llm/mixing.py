@@ -44,9 +44,9 @@ def domain_of(source: Column) -> Column:
     return F.when(digit < "4", "d0").when(digit < "8", "d1").when(digit < "c", "d2").otherwise("d3")
 
 
-def path(depth: int) -> Column:
+def path(depth: int, columns: dict[str, Column] | None = None) -> Column:
     """Path of the first ``depth`` levels; the empty path is the root. A slash in a name is ``%2F``."""
-    names = [F.replace(F.replace(F.col(c), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")) for c in LEVELS[:depth]]
+    names = [F.replace(F.replace((columns or {}).get(c, F.col(c)), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")) for c in LEVELS[:depth]]
     return F.concat_ws("/", *names) if depth else F.lit("")
 
 
@@ -103,16 +103,30 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, percent: int, max_epochs
     return given
 
 
+def branch(column: Column) -> Column:
+    """A branch's name; null is ``?``."""
+    return F.coalesce(column.cast("string"), F.lit("?"))
+
+
+def leaf_of(docs: DataFrame, domain: Column | None = None) -> Column:
+    """The leaf's path of each row, from its own columns."""
+    names = {
+        "domain": branch(domain_of(docs["source"]) if domain is None else domain),
+        "lang": branch(docs["lang"]),
+        "source": branch(docs["source"]),
+    }
+    return path(len(LEVELS), names)
+
+
 def leaved(docs: DataFrame, domain: Column | None = None) -> DataFrame:
     """Adds the tree's levels, tokens (words) and the leaf's path."""
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
-    domain = domain_of(F.col("source")) if domain is None else domain
+    pattern = NOT_BLANK.replace("\\", "\\\\")
     return docs.withColumns(
         {
-            "domain": name(domain),
-            "lang": name(F.col("lang")),
-            "source": name(F.col("source")),
-            "n_tokens": F.expr(f"cast(regexp_count(coalesce(text, ''), '{NOT_BLANK}') as bigint)".replace("\\", "\\\\")),
+            "domain": branch(domain_of(F.col("source")) if domain is None else domain),
+            "lang": branch(F.col("lang")),
+            "source": branch(F.col("source")),
+            "n_tokens": F.expr(f"cast(regexp_count(coalesce(text, ''), '{pattern}') as bigint)"),
         }
     ).withColumn("leaf", path(len(LEVELS)))
 
@@ -124,6 +138,7 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     id_column: str = "doc_id",
+    keep_digest: bool = False,
 ) -> DataFrame:
     """Every row's leaf, tokens, leaf budget and ``copies``, the epochs that hold it (0: not sampled)."""
     spark = docs.sparkSession
@@ -149,5 +164,38 @@ def mix(
     )
     copies = F.col("_whole") + F.when(F.col("_before") + F.col("n_tokens") <= F.col("_part"), 1).otherwise(0)
     return ordered.select(
-        id_column, *LEVELS, "n_tokens", "leaf_budget", F.least(copies, F.lit(max_epochs)).cast("long").alias("copies")
+        id_column,
+        *LEVELS,
+        "n_tokens",
+        "leaf_budget",
+        F.least(copies, F.lit(max_epochs)).cast("long").alias("copies"),
+        *(["leaf", "_text"] if keep_digest else []),
+    )
+
+
+def sampled_documents(
+    docs: DataFrame,
+    weights: dict[str, int] | None = None,
+    percent: int = BUDGET_PERCENT,
+    max_epochs: int = 1,
+    seed: int = SEED,
+    id_column: str = "doc_id",
+) -> DataFrame:
+    """The sampled documents, all columns, each as often as the epochs that hold it."""
+    chosen = mix(docs, weights, percent, max_epochs, seed, id_column, keep_digest=True)
+    # Rows equal in id, leaf and text are interchangeable: the n-th of them takes the n-th number of copies.
+    same = [id_column, "leaf", "_text"]
+    copies = chosen.groupBy(*same).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    copies = copies.where("_copies > 0").select(
+        F.col(id_column).alias("_id"), F.col("leaf").alias("_leaf"), F.col("_text").alias("_digest"), "_copies", "_rows"
+    )
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    own_leaf = leaf_of(docs)
+    found = docs.join(
+        copies, F.col(id_column).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")) & (own_leaf == F.col("_leaf"))
     )
+    columns = docs.columns
+    single = found.where("_rows = 1")
+    repeated = found.where("_rows > 1").dropDuplicates(["_id", "_leaf", "_digest"])
+    both = single.unionByName(repeated)
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
