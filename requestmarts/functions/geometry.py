@@ -9,10 +9,21 @@ from __future__ import annotations
 EDGES_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
+_NUMBERS = "[-+.,0-9eE ]*"
+_RINGS = f"[(] *(?:[(]{_NUMBERS}[)][ ,]*)+[)]"
+_PREFIX = "(?i)"
+_AREA = f"{_PREFIX}(?:MULTIPOLYGON *[(] *(?:{_RINGS}[ ,]*)+[)]|POLYGON *{_RINGS})"
+# One shape: its name, then EMPTY or brackets around numbers and, in collections, further shapes.
+_NAMES = "(?:MULTI)?(?:POINT|LINESTRING|POLYGON)|GEOMETRYCOLLECTION|LINEARRING"
+_SHAPE = f"{_PREFIX}^(?:{_NAMES}) *(?:EMPTY|[(](?:{_NAMES}|EMPTY|[-+.,0-9eE() ])*[)])$"
+
+
 def wkt_edges(wkt: str) -> str:
-    """Edges of every ring of a POLYGON or MULTIPOLYGON, holes included.
+    """Edges of every ring of the polygons in a WKT text, holes included.
 
-    Other shapes have no interior and give an empty array.
+    Points, lines and empty shapes have no interior and give no edge. Collections
+    give the edges of their polygons, and a leading SRID is passed over. Text that
+    is none of these shapes is an error, never a shape without edges.
     """
     points = (
         "transform(split(ring, ','), pair -> transform(split(trim(pair), '[ ]+'), v -> cast(v as double)))"
@@ -21,12 +32,14 @@ def wkt_edges(wkt: str) -> str:
         "zip_with(slice(points, 1, size(points) - 1), slice(points, 2, size(points) - 1), "
         "(a, b) -> named_struct('x1', get(a, 0), 'y1', get(a, 1), 'x2', get(b, 0), 'y2', get(b, 1)))"
     )
-    one_line = f"translate({wkt}, '\n\r\t', '   ')"
-    rings = f"regexp_extract_all({one_line}, '[(]([^()]+)[)]', 1)"
+    one_line = f"trim(regexp_replace(translate({wkt}, '\n\r\t', '   '), '(?i)^ *SRID *= *[0-9]+ *;', ''))"
+    # Rings of polygons stand in their brackets; those of points and lines in a collection do not count.
+    areas = f"array_join(regexp_extract_all({one_line}, '{_AREA}', 0), ' ')"
+    rings = f"regexp_extract_all({areas}, '[(]([^()]+)[)]', 1)"
     vertices = f"transform({rings}, ring -> {points})"
     edges = f"flatten(transform({vertices}, points -> {ring_edges}))"
-    is_area = f"{one_line} rlike '(?i)^ *(MULTI)?POLYGON'"
-    return f"case when {is_area} then {edges} else cast(array() as {EDGES_TYPE}) end"
+    known = f"{one_line} rlike '{_SHAPE}'"
+    return f"case when {known} then {edges} else raise_error(concat('not a WKT shape: ', left({wkt}, 80))) end"
 
 
 def bounds(edges: str) -> str:

@@ -22,7 +22,7 @@ _CELLS_PER_EXTENT = 16
 
 # Size of a cell entry in memory: fixed part, edges and texts.
 _ENTRY_BYTES = " + ".join(
-    ["160", "40 * size(edges)"]
+    ["160", "48 * size(edges)"]
     + [f"coalesce(octet_length({c}), 0)" for c in ("id_bairro", *TERRITORY_COLUMNS)]
 )
 
@@ -217,8 +217,11 @@ def attach_territory(requests: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 def resolve_by_request(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
-    """Territory through ``id_chamado`` alone: exact also if request ids repeat, at
-    the price of shuffling the requests by id several times."""
+    """Territory through ``id_chamado`` alone: what rows of a repeated id mean.
+
+    They share the territories any of them resolved. Shuffles the requests by id
+    several times, so ``resolve_territory`` gives it only the repeated ones.
+    """
     by_id = geo_by_id(requests, lookup)
     by_point = geo_by_point(geo_pending_by_request(requests, by_id), lookup)
     return attach_territory(requests, unify_geo(by_id, by_point))
@@ -232,6 +235,17 @@ def _flagged_by_id(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     return lookup_join(requests, by_id, ["id_bairro"], "left", small=lookup.small)
 
 
+def repeated_ids(requests: DataFrame) -> DataFrame:
+    """Request ids that more than one row has. Only the ids are shuffled, summed map-side."""
+    return (
+        requests.where("id_chamado is not null")
+        .groupBy("id_chamado")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1")
+        .select("id_chamado")
+    )
+
+
 def resolve_by_shuffle(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     """Territory where the neighbourhoods are too many to broadcast: salted joins,
     and only the points' answers are joined back by the unique request id."""
@@ -275,14 +289,36 @@ def resolve_by_row(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     )
 
 
+def _resolve_unique(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
+    """Requests without repeated ids. A NULL id is joined to no territory."""
+    resolved = (resolve_by_row if lookup.small else resolve_by_shuffle)(requests, lookup)
+    return resolved.selectExpr(
+        *requests.columns, *(f"case when id_chamado is not null then {c} end as {c}" for c in TERRITORY_COLUMNS)
+    )
+
+
 def resolve_territory(
     requests: DataFrame, lookup: TerritoryLookup, *, unique_ids: bool = True
 ) -> DataFrame:
     """Add the three territory columns.
 
-    ``unique_ids`` states the contract the quality checks verify. If it does not
-    hold, pass False: rows sharing an id then share their territories.
+    Territories belong to request ids: rows sharing an id share them, and rows
+    without an id have none. ``unique_ids`` requires that no id repeats; ids are
+    counted first and a repeated one raises. With False, repeated ids are resolved
+    by id and all others row by row, which gives the same rows as if all were.
     """
-    if not unique_ids:
-        return resolve_by_request(requests, lookup)
-    return resolve_by_row(requests, lookup) if lookup.small else resolve_by_shuffle(requests, lookup)
+    repeated = repeated_ids(requests)
+    if unique_ids:
+        example = repeated.first()
+        if example is not None:
+            raise ValueError(f"request ids repeat, {example[0]!r} for one; resolve with unique_ids=False")
+        return _resolve_unique(requests, lookup)
+    size = measured_bytes(repeated)
+    if not size:
+        return _resolve_unique(requests, lookup)
+    small = size <= MAX_BROADCAST_BYTES
+    shared = lookup_join(requests, repeated, ["id_chamado"], "left_semi", small=small)
+    others = lookup_join(requests, repeated, ["id_chamado"], "left_anti", small=small)
+    return _resolve_unique(others.select(requests.columns), lookup).unionByName(
+        resolve_by_request(shared.select(requests.columns), lookup)
+    )

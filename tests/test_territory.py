@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from requestmarts.functions.geometry import strictly_inside, wkt_edges
@@ -123,14 +124,47 @@ def test_repeated_neighbourhood_id_fans_out(spark):
         assert [row[1] for row in resolved(requests, lookup)] == ["A", "B"]
 
 
-def test_repeated_request_ids_share_their_territories(spark):
-    square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
-    small, _ = lookups(spark, [("1", "A", square), ("2", "B", None)])
-    requests = H.requests(
-        spark,
-        [{"id_chamado": "x", "id_bairro": "1"}, {"id_chamado": "x", "longitude": 1, "latitude": 1}],
-    )
-    assert [row[1] for row in resolved(requests, small, unique_ids=False)] == ["A", "A"]
+def test_repeated_and_null_request_ids_mean_the_same_on_every_path(spark):
+    """Rows of one id share its territories, each joined to every resolved row; no id, no territory."""
+    left, right = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", "POLYGON ((4 0, 6 0, 6 2, 4 2, 4 0))"
+    small, large = lookups(spark, [("1", "A", left), ("2", "B", right), ("3", "C", None)])
+    inside_a, inside_b = {"longitude": 1, "latitude": 1}, {"longitude": 5, "latitude": 1}
+    repeated = [
+        {"id_chamado": "x", **inside_a},
+        {"id_chamado": "x", **inside_b},
+        {"id_chamado": "x"},
+        {"id_chamado": None, **inside_a},
+        {"id_chamado": "y", "id_bairro": "1"},
+        {"id_chamado": "y", "id_bairro": "2"},
+        {"id_chamado": "y", **inside_a},
+        {"id_chamado": "z", **inside_b},
+    ]
+    requests = H.requests(spark, repeated)
+    want = [(None, None)] + [("x", "A")] * 3 + [("y", "A"), ("y", "B")] * 3 + [("z", "B")]
+    for lookup in (small, large):
+        got = [row[:2] for row in resolved(requests, lookup, unique_ids=False)]
+        by_request = T.resolve_by_request(requests, lookup).select("id_chamado", *T.TERRITORY_COLUMNS)
+        assert sorted(got, key=str) == sorted(want, key=str) == sorted((r[:2] for r in H.rows_of(by_request)), key=str)
+        with pytest.raises(ValueError, match="repeat"):
+            T.resolve_territory(requests, lookup)
+        alone = H.requests(spark, [repeated[3], repeated[7]])
+        for unique_ids in (True, False):
+            got = [row[:2] for row in resolved(alone, lookup, unique_ids=unique_ids)]
+            assert sorted(got, key=str) == [(None, None), ("z", "B")] or sorted(got, key=str) == [("z", "B"), (None, None)]
+
+
+def test_collections_srid_and_unknown_text(spark):
+    square, far = "((0 0, 2 0, 2 2, 0 2, 0 0))", "((4 0, 6 0, 6 2, 4 2, 4 0))"
+    shapes = [
+        ("1", "A", f"GEOMETRYCOLLECTION (POLYGON {square}, POINT (1 1), LINESTRING (4 0, 6 0, 6 2, 4 0))"),
+        ("2", "B", f"SRID=4326;POLYGON {far}"),
+        ("3", "C", f"srid = 4326 ; MULTIPOLYGON ({far.replace('0', '9')}, {square.replace('2', '-2')})"),
+    ]
+    small, large = lookups(spark, shapes)
+    assert everywhere(points(spark, [(1, 1), (5, 1), (-1, -1)]), small, large) == {"1": "A", "2": "B", "3": "C"}
+    for text in (f"POLIGON {square}", "0 0, 2 0", "", f"POLYGON {square} and more"):
+        with pytest.raises(Exception, match="not a WKT shape"):
+            lookups(spark, [("1", "A", text)])
 
 
 def test_shapes_without_interior_and_spelling(spark):
