@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import oracle_queries
 from requestmarts.operators import quality
@@ -19,14 +20,14 @@ from requestmarts.operators.enrich import (
     with_department,
 )
 from requestmarts.operators.filters import RequestFilter
-from requestmarts.operators.measures import measured, rollup, territory_cube
+from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
 from requestmarts.operators.territory import (
     TerritoryLookup,
     geo_by_id,
     geo_by_point,
     geo_pairs,
     geo_pending,
-    resolve_by_request,
+    resolve_territory,
     territory_lookup,
     unify_geo,
 )
@@ -40,10 +41,16 @@ from requestmarts.plans.dashboard import (
     dashboard,
     long_form,
 )
+from requestmarts.plans.pipeline import build_marts
 from requestmarts.schema import REQUEST_SCHEMA
 from requestmarts.sources import standin
-from requestmarts.sources.checkpoints import checkpointed
-from requestmarts.sources.landing import extract_requests
+from requestmarts.sources.landing import (
+    extract_admin_regions,
+    extract_neighbourhoods,
+    extract_planning_areas,
+    extract_requests,
+    extract_subprefectures,
+)
 
 try:  # The training-data operators can be left out of an installation.
     from requestmarts.llm import queries as corpus_queries
@@ -51,6 +58,7 @@ except ImportError:
     corpus_queries = None
 
 COMMON = RequestFilter(q=" h_G ", data_inicio_from="1997-06-01", data_inicio_to="2001-06-30")
+NARROW = RequestFilter(tipo="HOUSEHOLD-1", subtipo="1-URGENT", status="Fechado com solução")
 LISTED = RequestFilter(secretaria="SMS", situacao="Encerrado")
 FAR_PAGE = 10**9
 
@@ -68,14 +76,19 @@ class Tables:
     detail: DataFrame
     m: DataFrame
     m_filtered: DataFrame
+    areas: DataFrame
+    admin_regions: DataFrame
+    planning_areas: DataFrame
+    subprefectures: DataFrame
 
 
 @lru_cache(maxsize=4)
 def _tables(spark: SparkSession, application: str, sf_dir: str) -> Tables:
     raw = standin.requests(spark, sf_dir)
+    areas = standin.neighbourhoods(spark, sf_dir)
     staged = stage_requests(raw, standin.SINCE)
     type_map = standin.type_map(spark)
-    lookup = territory_lookup(stage_neighbourhoods(standin.neighbourhoods(spark, sf_dir)))
+    lookup = territory_lookup(stage_neighbourhoods(areas))
     enriched = enrich(staged, type_map, lookup)
     detail = mart_requests(enriched)
     return Tables(
@@ -88,6 +101,10 @@ def _tables(spark: SparkSession, application: str, sf_dir: str) -> Tables:
         detail=detail,
         m=measured(detail, standin.AS_OF),
         m_filtered=measured(COMMON.apply(detail), standin.AS_OF),
+        areas=areas,
+        admin_regions=standin.admin_regions(spark, sf_dir),
+        planning_areas=standin.planning_areas(spark, sf_dir),
+        subprefectures=standin.subprefectures(spark, sf_dir),
     )
 
 
@@ -106,21 +123,45 @@ def _geo_by_point(t: Tables) -> DataFrame:
 
 def _late_with_units(t: Tables, column: str, name: str) -> DataFrame:
     # Both cards read one small cube, so the requests are scanned once.
-    cube = territory_cube(checkpointed(rollup(t.m)))
+    cube = territory_cube(rollup(t.m).persist())
     late, units = marts.late_by_department(cube, column), marts.late_by_unit(cube, column)
     return shaping.unit_rows(shaping.late_with_units(late, units, name))
 
 
+def _twice(t: Tables) -> DataFrame:
+    """Requests in scope, pending ones a second time at another point and without a neighbourhood."""
+    again = t.scoped.where("status = 'Pendente'").withColumns(
+        {"longitude": F.expr("longitude + 1"), "id_bairro": F.lit(None).cast("string")}
+    )
+    return t.scoped.unionByName(again)
+
+
+def _repeated_ids(t: Tables) -> DataFrame:
+    return resolve_territory(_twice(t), t.lookup, unique_ids=False)
+
+
+def _from_marts(t: Tables) -> DataFrame:
+    """The dashboard as served: built, checked, published and read back."""
+    spark = t.raw.sparkSession
+    out = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marts"
+    build_marts(
+        t.raw, t.type_map, t.areas, out, start=standin.SINCE, as_of=standin.AS_OF, built_at=standin.BUILT_AT
+    )
+    cards = dashboard(t.detail, RequestFilter())
+    return long_form({**cards, "kpis": cards["kpis"].drop("atualizado_em")})
+
+
 def _contract(t: Tables) -> DataFrame:
+    volume = volume_cube(rollup(t.m).persist())
     return quality.run_contract(
         {
             "stg_chamado": t.staged,
             "int_chamados_enriched": t.enriched,
             "mart_chamados": t.detail,
-            "mart_by_department": marts.by_department(t.m),
-            "mart_kpis": marts.kpis(t.m, standin.BUILT_AT),
-            "mart_monthly_volume": marts.monthly_volume(t.m),
-            "mart_top_types": marts.top_types(t.m),
+            "mart_by_department": marts.by_department(volume),
+            "mart_kpis": marts.kpis(volume, standin.BUILT_AT),
+            "mart_monthly_volume": marts.monthly_volume(volume),
+            "mart_top_types": marts.top_types(volume),
         }
     )
 
@@ -139,6 +180,10 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         out[f"{_FILTERED_NAME.get(name, name)}_filtered"] = lambda t, card=card: card(t.m_filtered)
     out |= {
         "landing_requests": _landing_requests,
+        "landing_neighbourhoods": lambda t: extract_neighbourhoods(t.areas),
+        "landing_admin_regions": lambda t: extract_admin_regions(t.admin_regions),
+        "landing_planning_areas": lambda t: extract_planning_areas(t.planning_areas),
+        "landing_subprefectures": lambda t: extract_subprefectures(t.subprefectures),
         "staged_requests": lambda t: t.staged,
         "with_department": lambda t: with_department(t.staged, t.type_map),
         "geo_by_id": lambda t: geo_by_id(t.scoped, t.lookup),
@@ -147,18 +192,23 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "geo_by_point": _geo_by_point,
         "geo_unified": lambda t: unify_geo(geo_by_id(t.scoped, t.lookup), _geo_by_point(t)),
         "enriched": lambda t: t.enriched,
-        "enriched_by_request": lambda t: resolve_by_request(t.scoped, t.lookup),
+        "enriched_by_request": lambda t: resolve_territory(t.scoped, t.lookup, unique_ids=False),
+        "enriched_repeated_ids": _repeated_ids,
         "detail_fact": lambda t: t.detail,
         "freshness": lambda t: marts.freshness(t.m, standin.BUILT_AT),
         "top_territories_by_volume": lambda t: marts.top_territories(t.m_filtered, "area_planejamento"),
         "kpi_response": lambda t: marts.kpi_response(
             marts.kpis_filtered(measured(RequestFilter(q="__nenhum__").apply(t.detail)))
         ),
-        "dashboard": lambda t: long_form(cards_from_rollup(checkpointed(rollup(t.m)))),
+        "dashboard": lambda t: long_form(cards_from_rollup(rollup(t.m))),
+        "dashboard_department": lambda t: long_form(dashboard(t.detail, RequestFilter(secretaria="SMS"), as_of=standin.AS_OF)),
+        "dashboard_from_marts": _from_marts,
         "dashboard_filtered": lambda t: long_form(dashboard(t.detail, COMMON, as_of=standin.AS_OF)),
         "search_text": lambda t: RequestFilter(q=" SOLUÇÃO ").apply(t.detail),
         "list_page": lambda t: listing.list_page(t.detail, RequestFilter()),
         "list_page_sorted": lambda t: listing.list_page(t.detail, LISTED, 3, 50, "data_fim", "asc"),
+        "list_page_middle": lambda t: listing.list_page(t.detail, RequestFilter(), 31, 100, direct_rows=500),
+        "list_filtered": lambda t: listing.export_rows(t.detail, NARROW),
         "list_page_beyond": lambda t: listing.list_page(t.detail, LISTED, FAR_PAGE, 100, "status"),
         "page_info": lambda t: listing.page_info(t.detail, LISTED, FAR_PAGE),
         "export": lambda t: listing.export_rows(t.detail, LISTED),
@@ -169,11 +219,15 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
             marts.volume_by_department(t.m, SUBPREFECTURE), SUBPREFECTURE
         ),
         "worst_prazo_points": lambda t: shaping.worst_points(marts.worst_territories(t.m, REGION)),
+        "worst_prazo_points_subprefecture": lambda t: shaping.worst_points(
+            marts.worst_territories(t.m, SUBPREFECTURE)
+        ),
         "late_regions_with_units": lambda t: _late_with_units(t, REGION, "regiao"),
         "late_subprefectures_with_units": lambda t: _late_with_units(t, SUBPREFECTURE, SUBPREFECTURE),
         "top_categories": lambda t: shaping.top_categories(marts.by_category(t.m)),
         "sla_parts": lambda t: shaping.sla_parts(marts.sla_breakdown(t.m)),
         "dq_unique": lambda t: quality.check_unique(t.staged, ["id_bairro", "tipo"]),
+        "dq_unique_ids": lambda t: quality.check_unique(_twice(t), ["id_chamado"]),
         "dq_not_null": lambda t: quality.check_not_null(t.staged, REQUEST_SCHEMA.fieldNames()),
         "dq_accepted": lambda t: quality.check_accepted(
             with_department(t.staged, t.type_map), "secretaria", quality.DEPARTMENTS

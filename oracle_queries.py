@@ -266,6 +266,21 @@ FILTER_OPTIONS = " union all ".join(
 )
 
 
+def repeated_ids() -> str:
+    """Pending requests a second time, one degree east and without a neighbourhood id."""
+    source = "  where coalesce(mapa.secretaria, 'Outros') in ('SMS', 'SME', 'SMAS')),\n"
+    once, rest = BASE.split(source)
+    head = once.replace("scoped as (", "once as (")
+    twice = """scoped as (
+  select * from once union all by name
+  select * replace (longitude + 1 as longitude, cast(null as varchar) as id_bairro) from once where status = 'Pendente'),
+"""
+    # A request id is pending only if none of its rows has a neighbourhood; each row brings its own point.
+    rest = rest.replace("select id_chamado, arestas.id_bairro from pending, arestas\n  group by id_chamado, arestas.id_bairro",
+                        "select id_chamado, arestas.id_bairro from pending, arestas\n  group by id_chamado, longitude, latitude, arestas.id_bairro")
+    return f"with {head}{source}{twice}{rest}{_FLAGS.format(where='true')} select * from detail"
+
+
 def _long(card: str, sql: str, keys: tuple[str, ...], metrics: tuple[str, ...]) -> str:
     padded = [*(f"cast({k} as varchar)" for k in keys), *["cast(null as varchar)"] * (3 - len(keys))]
     named = ", ".join(f"{k} as key{i}" for i, k in enumerate(padded, 1))
@@ -367,6 +382,15 @@ def oracle_sql() -> dict[str, str]:
         out[f"{name}_filtered"] = _over(sql, COMMON_WHERE)
     out |= {
         "landing_requests": f"with {BASE} {_FLAGS.format(where='true')} select {', '.join(STAGED_COLUMNS)} from stg",
+        "landing_neighbourhoods": f"with {BASE} {_FLAGS.format(where='true')} select id_bairro, n_name as nome, subprefeitura, "
+        "regiao_administrativa as nome_regiao_administrativa, area_planejamento as nome_regiao_planejamento, geometry_wkt "
+        "from bairro join nation on cast(n_nationkey as varchar) = id_bairro",
+        "landing_admin_regions": "select cast(n_nationkey as varchar) as id_regiao_administrativa, n_name as nome, "
+        "cast(n_regionkey as varchar) as id_area_planejamento_sms from nation",
+        "landing_planning_areas": "select cast(r_regionkey as varchar) as id_area_planejamento, "
+        "r_regionkey as id_area_planejamento_numerico, 'POLYGON EMPTY' as geometry_wkt from region",
+        "landing_subprefectures": "select r_name as subprefeitura, cast(r_regionkey as double) / 2 as area, "
+        "cast(r_regionkey as double) * 2 as perimetro, 'POLYGON EMPTY' as geometry_wkt from region",
         "staged_requests": _over(f"select {', '.join(STAGED_COLUMNS)} from stg"),
         "with_department": _over(
             f"select {', '.join('stg.' + c for c in STAGED_COLUMNS)}, coalesce(secretaria, 'Outros') as secretaria "
@@ -379,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "geo_unified": _over(f"select {geo} from geo_all"),
         "enriched": _over("select * from detail"),
         "enriched_by_request": _over("select * from detail"),
+        "enriched_repeated_ids": repeated_ids(),
         "detail_fact": _over(f"select {fact} from detail"),
         "freshness": _over(
             f"select timestamp '{BUILT_AT}' as atualizado_em, max(data_particao) as ultima_particao from m"
@@ -389,10 +414,14 @@ def oracle_sql() -> dict[str, str]:
             "tipo ilike '%__nenhum__%'",
         ),
         "dashboard": _over(dashboard()),
+        "dashboard_department": _over(dashboard(), "secretaria = 'SMS'"),
+        "dashboard_from_marts": _over(dashboard()),
         "dashboard_filtered": _over(dashboard(), COMMON_WHERE),
         "search_text": _over(f"select {fact} from m", "concat_ws('|', id_chamado, tipo, subtipo, secretaria, status, situacao) ilike '%solução%'"),
         "list_page": _over(page(1, 20, "data_inicio desc nulls last, id_chamado desc")),
         "list_page_sorted": _over(page(3, 50, "data_fim asc nulls last, id_chamado asc"), LIST_WHERE),
+        "list_page_middle": _over(page(31, 100, "data_inicio desc nulls last, id_chamado desc")),
+        "list_filtered": _over(EXPORT, "tipo = 'HOUSEHOLD-1' and subtipo = '1-URGENT' and status = 'Fechado com solução'"),
         "list_page_beyond": _over(page(10**9, 100, "status desc nulls last, id_chamado desc"), LIST_WHERE),
         "page_info": _over(page_info(10**9, 20), LIST_WHERE),
         "export": _over(EXPORT, LIST_WHERE),
@@ -401,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "region_pivot": _over(pivot(region)),
         "subprefecture_pivot": _over(pivot(sub)),
         "worst_prazo_points": _over(worst(region)),
+        "worst_prazo_points_subprefecture": _over(worst(sub)),
         "late_regions_with_units": _over(with_units(region, "regiao")),
         "late_subprefectures_with_units": _over(with_units(sub, sub)),
         "top_categories": _over(f"{BY_CATEGORY} order by total_chamados desc, categoria limit 10"),
@@ -412,6 +442,7 @@ def oracle_sql() -> dict[str, str]:
             "select id_bairro, tipo, count(*) as n from stg where id_bairro is not null and tipo is not null "
             "group by all having count(*) > 1"
         ),
+        "dq_unique_ids": _over("select id_chamado, cast(2 as bigint) as n from scoped where status = 'Pendente'"),
         "dq_not_null": _over(
             " union all ".join(
                 f"select '{c}' as \"column\", count(*) - count({c}) as failures from stg" for c in STAGED_COLUMNS

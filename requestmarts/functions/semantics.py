@@ -43,19 +43,11 @@ def days_to_resolution() -> Column:
     return calendar_days(F.col("data_inicio"), F.col("data_fim"))
 
 
-def closed_with_deadline() -> Column:
-    return F.col("data_fim").isNotNull() & F.col("prazo_atendimento").isNotNull()
-
-
 def resolved_on_time() -> Column:
     """Closed at or before the deadline. False, never NULL, when either is missing."""
     return F.coalesce(F.col("data_fim") <= F.col("prazo_atendimento"), F.lit(False))
 
 
-def is_late() -> Column:
-    return closed_with_deadline() & ~F.col("resolvido_no_prazo")
-
-
 def month_of(c: Column) -> Column:
     return F.trunc(c.cast("date"), "month")
 
@@ -65,10 +57,6 @@ def date_literal(d: dt.date | str | None) -> Column:
     return F.current_date() if d is None else F.lit(str(d)).cast("date")
 
 
-def open_age_days(as_of: dt.date | str | None = None) -> Column:
-    return calendar_days(F.col("data_inicio"), date_literal(as_of))
-
-
 def build_time(ts: dt.datetime | str | None = None) -> Column:
     """The build stamp as a zone-free timestamp; None means now."""
     return F.localtimestamp() if ts is None else F.lit(str(ts)).cast("timestamp_ntz")

@@ -15,6 +15,7 @@ from requestmarts.schema import (
     DEFAULT_SORT,
     DEPARTMENTS,
     FILTER_COLUMNS,
+    OPENED_MONTH,
     SEARCH_COLUMNS,
     SORTABLE_COLUMNS,
 )
@@ -60,5 +61,16 @@ class RequestFilter:
             parts.append(search(self.q))
         return reduce(and_, parts)
 
+    def months(self) -> list[Column]:
+        """What the opening dates asked for mean for the month directories."""
+        month, parts = F.col(OPENED_MONTH), []
+        if self.data_inicio_from:
+            parts.append(month >= F.trunc(S.date_literal(self.data_inicio_from), "month"))
+        if self.data_inicio_to:
+            parts.append(month <= F.trunc(S.date_literal(self.data_inicio_to), "month"))
+        return parts
+
     def apply(self, detail: DataFrame) -> DataFrame:
-        return detail.where(self.predicate())
+        """The rows asked for; of a stored detail fact only the months they can be in are read."""
+        months = self.months() if OPENED_MONTH in detail.columns else []
+        return detail.where(reduce(and_, months, self.predicate()))

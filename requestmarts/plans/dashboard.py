@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from requestmarts.operators.filters import RequestFilter
 from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
 from requestmarts.plans import marts
-from requestmarts.schema import CARD_SCHEMAS
-from requestmarts.sources.checkpoints import checkpointed
-from requestmarts.sources.readers import read_mart, read_mart_or_empty
+from requestmarts.schema import CARD_SCHEMAS, DEPARTMENTS
+from requestmarts.sources.readers import current_build, read_mart, read_mart_or_empty
 
 REGION, SUBPREFECTURE = "regiao_administrativa", "subprefeitura"
 
@@ -42,29 +41,60 @@ TERRITORY_CARDS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "complaints_by_subprefecture": partial(marts.complaints, column=SUBPREFECTURE),
 }
 
+LATE_CARDS = ("late_region_by_department", "late_subprefecture_by_department")
+# Cards whose answer is restricted to the departments in scope.
+DEPARTMENT_CARDS = (
+    "by_department",
+    *LATE_CARDS,
+    "late_region_by_unit",
+    "late_subprefecture_by_unit",
+    "region_by_department",
+    "subprefecture_by_department",
+)
+
 # Cards every build has; a missing table of any other shows as an empty card.
 REQUIRED_CARDS = ("kpis", "backlog", "sla_breakdown", "monthly_volume", "by_department", "top_types")
 
 
-def mart_name(card: str, database: str | None = None) -> str:
-    return f"{database}.mart_{card}" if database else f"mart_{card}"
+class Cards(dict[str, DataFrame]):
+    """Cards by name. ``release`` frees the roll-up they share, if they do."""
+
+    shared: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.shared is not None:
+            self.shared.unpersist()
 
 
-def cards_from_rollup(rolled: DataFrame) -> dict[str, DataFrame]:
-    """Every card from one roll-up, without a build time."""
+def cards_from_rollup(rolled: DataFrame) -> Cards:
+    """Every card from one roll-up, without a build time. The roll-up is small and
+    kept in executor storage for them; what an executor loses is computed again."""
+    rolled = rolled.persist()
     volume, territory = volume_cube(rolled), territory_cube(rolled)
     cards = {card: build(volume) for card, build in VOLUME_CARDS.items() if card != "kpis"}
     cards |= {card: build(territory) for card, build in TERRITORY_CARDS.items()}
-    return {"kpis": marts.kpi_response(marts.kpis_filtered(volume)), **cards}
+    out = Cards(kpis=marts.kpi_response(marts.kpis_filtered(volume)), **cards)
+    out.shared = rolled
+    return out
+
+
+def as_served(card: str, df: DataFrame) -> DataFrame:
+    """A stored card as an answer shows it: departments in scope only, no late count is NULL."""
+    if card in DEPARTMENT_CARDS:
+        df = df.where(F.col("secretaria").isin(*DEPARTMENTS))
+    if card in LATE_CARDS:
+        df = df.withColumn("chamados_atrasados", F.coalesce("chamados_atrasados", F.lit(0).cast("bigint")))
+    return marts.kpi_response(df) if card == "kpis" else df
 
 
-def cards_from_marts(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
-    cards = {}
+def cards_from_marts(spark: SparkSession, database: str | None = None) -> Cards:
+    """Every card of the published build. The pointer is read once, so all are of one build."""
+    build = current_build(spark, database)
+    cards = Cards()
     for card, schema in CARD_SCHEMAS.items():
-        name = mart_name(card, database)
         required = card in REQUIRED_CARDS
-        cards[card] = read_mart(spark, name) if required else read_mart_or_empty(spark, name, schema)
-    cards["kpis"] = marts.kpi_response(cards["kpis"])
+        stored = read_mart(spark, card, build) if required else read_mart_or_empty(spark, card, schema, build)
+        cards[card] = as_served(card, stored)
     return cards
 
 
@@ -74,12 +104,12 @@ def dashboard(
     *,
     as_of: dt.date | str | None = None,
     database: str | None = None,
-) -> dict[str, DataFrame]:
+) -> Cards:
     """All cards by name. A filtered dashboard scans the detail fact once: its cards
-    share the roll-up, which is small and kept in the checkpoint folder."""
+    share one roll-up, which the caller releases."""
     if not filt.active:
         return cards_from_marts(detail.sparkSession, database)
-    return cards_from_rollup(checkpointed(rollup(measured(filt.apply(detail), as_of))))
+    return cards_from_rollup(rollup(measured(filt.apply(detail), as_of)))
 
 
 def collected(cards: dict[str, DataFrame], at_once: int = 4) -> dict[str, list[Row]]:

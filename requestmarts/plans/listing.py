@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Row
@@ -16,9 +18,11 @@ DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
 # ------------------------------------------------------------------------------
 
-# Rows a task may hold to find a page directly; deeper pages are narrowed first.
+# Rows that may meet in one task to find a page; a list with more is narrowed first.
 DIRECT_ROWS = 100_000
-_SPLITS = 32
+# Ranges of a round of narrowing: groups of splits, so that a row is placed in two short searches.
+_GROUP = 32
+_SPLITS = _GROUP * _GROUP
 
 
 def _check_paging(page: int, page_size: int, sort_order: str) -> None:
@@ -59,19 +63,29 @@ def page_info(detail: DataFrame, filt: RequestFilter, page: int = 1, page_size:
     )
 
 
-def _reached(split: Row, column: str, kind: str, descending: bool) -> Column:
-    """The row stands at or after the split in the list, where NULLs stand last."""
+def _key(value: str, row_id: str, descending: bool) -> str:
+    """Place of a row in the list as a struct that compares like it; NULLs stand last."""
+    flag = "is not null" if descending else "is null"
+    return f"struct({value} {flag} as n, {value} as v, {row_id} {flag} as m, {row_id} as i)"
 
-    def compared(name: str, dtype: str, at: object, when_same: Column) -> Column:
-        c = F.col(name)
-        if at is None:
-            return c.isNull() & when_same
-        v = F.lit(str(at)).cast(dtype)
-        past = c < v if descending else c > v
-        return c.isNull() | past | ((c == v) & when_same)
 
-    by_id = compared("id_chamado", "string", split["id_chamado"], F.lit(True))
-    return compared(column, kind, split["value"], by_id)
+def _ranges(splits: list[Row], column: str, kind: str, descending: bool) -> Column:
+    """Number of splits a row has reached, as one folded literal and two short searches."""
+    flag = (lambda x: x is not None) if descending else (lambda x: x is None)
+    keys = [
+        {"n": flag(s["value"]), "v": s["text"], "m": flag(s["id_chamado"]), "i": s["id_chamado"]} for s in splits
+    ]
+    if kind == "boolean":
+        keys = [k | {"v": s["value"]} for k, s in zip(keys, splits, strict=True)]
+    groups = [keys[i : i + _GROUP] for i in range(0, len(keys), _GROUP)]
+    parsed = lambda data, depth: F.from_json(
+        F.lit(json.dumps(data)), f"{'array<' * depth}struct<n: boolean, v: {kind}, m: boolean, i: string>{'>' * depth}"
+    )
+    own = F.expr(_key(column, "id_chamado", descending))
+    reached = (lambda s: own <= s) if descending else (lambda s: own >= s)
+    heads = F.size(F.filter(parsed([g[0] for g in groups], 1), reached))
+    within = F.size(F.filter(F.get(parsed(groups, 2), heads - 1), reached))
+    return F.when(heads == 0, 0).otherwise((heads - 1) * _GROUP + within)
 
 
 def _narrow(
@@ -79,31 +93,26 @@ def _narrow(
 ) -> tuple[DataFrame, int, int]:
     """Only the part of the list around the page: (rows, offset in them, how many).
 
-    Sampled keys cut the list into ranges, exact counts tell which ranges hold
-    the page. The sample decides how much is cut off, never what is shown.
+    One scan samples split keys, one counts all ranges between them. The sample
+    decides how much is cut off, never what is shown.
     """
     kind = dict(rows.dtypes)[column]
     sampled = (
-        rows.select(F.col(column).alias("value"), "id_chamado", column)
-        .sample(fraction=min(1.0, 40.0 * _SPLITS / total), seed=7)
+        rows.select(F.col(column).alias("value"), F.col(column).cast("string").alias("text"), "id_chamado", column)
+        .sample(fraction=min(1.0, 8.0 * _SPLITS / total), seed=7)
         .orderBy(*ordering(column, "desc" if descending else "asc"))
-        .select("value", "id_chamado")
+        .select("value", "text", "id_chamado")
         .collect()
     )
-    splits = sampled[:: max(1, len(sampled) // _SPLITS)]
+    splits = sampled[:: max(1, -(-len(sampled) // _SPLITS))]
     if not splits:
         return rows, offset, total
-    reached = [_reached(s, column, kind, descending) for s in splits]
-    counts = rows.agg(*(F.count_if(r).alias(f"n{i}") for i, r in enumerate(reached))).first()
-    before = [total - n for n in counts]
-    first = bisect_right(before, offset)
-    last = bisect_left(before, offset + size)
-    start, end = 0, total
-    if first > 0:
-        rows, start = rows.where(reached[first - 1]), before[first - 1]
-    if last < len(splits):
-        rows, end = rows.where(~reached[last]), before[last]
-    return rows, offset - start, end - start
+    place = _ranges(splits, column, kind, descending)
+    counts = {r["place"]: r["n"] for r in rows.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = list(accumulate((counts.get(i, 0) for i in range(len(splits) + 1)), initial=0))
+    first = bisect_right(before, offset) - 1
+    last = bisect_left(before, offset + size) - 1
+    return rows.where(place.between(first, last)), offset - before[first], before[last + 1] - before[first]
 
 
 def list_page(
@@ -117,9 +126,11 @@ def list_page(
 ) -> DataFrame:
     """One page of the filtered, sorted list. A page past the end is the last one.
 
-    A page near either end is a top-k: each task keeps only its best rows. One in
-    the middle is first narrowed to the ranges around it, since a top-k would have
-    to hold every row before it.
+    The first and the last page are a top-k: each task keeps a page of rows. Any
+    other is first narrowed to the ranges around it, until at most ``direct_rows``
+    rows can meet in a task: one count, then a sample, a count of ranges and the
+    read of one range. A round cuts about a thousandfold, so one is enough for
+    1e8 rows and two for 1e11.
     """
     _check_paging(page, page_size, sort_order)
     rows = filt.apply(detail).select(*LIST_COLUMNS)
@@ -130,7 +141,7 @@ def list_page(
     offset = (min(page, max(1, ceil(total / page_size))) - 1) * page_size
     size = min(page_size, total - offset)
     column, descending = sort_column(sort_by), sort_order == "desc"
-    while min(offset, total - offset - size) + size > direct_rows:
+    while total > direct_rows and min(offset, total - offset - size) + size > page_size:
         narrowed, near, left = _narrow(rows, column, descending, offset, size, total)
         if left == total:
             break
@@ -144,10 +155,10 @@ def list_page(
 
 def distinct_values(detail: DataFrame, column: str, filt: RequestFilter) -> DataFrame:
     """Sorted values of one filter column under the filter; none for other columns."""
-    options = filter_options(detail, filt) if column in FILTER_COLUMNS else None
-    if options is None:
+    if column not in FILTER_COLUMNS:
         return detail.sparkSession.createDataFrame([], "value string")
-    return options.where(F.col("column") == column).select("value").orderBy("value")
+    values = filt.apply(detail).select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    return values.distinct().orderBy("value")
 
 
 def filter_options(detail: DataFrame, filt: RequestFilter) -> DataFrame:

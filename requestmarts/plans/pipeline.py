@@ -7,6 +7,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from requestmarts.operators.enrich import (
     enrich,
@@ -16,21 +17,33 @@ from requestmarts.operators.enrich import (
 )
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES
 from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
+from requestmarts.operators.quality import run_contract
 from requestmarts.operators.territory import territory_lookup
 from requestmarts.plans import marts
-from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS, mart_name
-from requestmarts.schema import DEFAULT_SINCE
+from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS
+from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH
+from requestmarts.sources.readers import DETAIL, build_name
 
-DETAIL = "chamados"
 ROLLUP = "rollup"
 FRESHNESS = "freshness"
 _WRITERS = 4
 
 
-def _publish(spark: SparkSession, path: str, name: str) -> None:
-    """Point the mart's name at the new files; readers switch between two builds."""
-    quoted = ".".join(f"`{part}`" for part in name.split("."))
-    spark.sql(f"create or replace view {quoted} as select * from parquet.`{path}`")
+class ContractError(ValueError):
+    """A build broke a declared check and was not published."""
+
+
+def _publish(spark: SparkSession, build: str, database: str | None) -> None:
+    """Move the one pointer that readers follow; they see one build or the other."""
+    quoted = ".".join(f"`{part}`" for part in build_name(database).split("."))
+    folder = build.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create or replace view {quoted} as select '{folder}' as folder")
+
+
+def _clustered(detail: DataFrame) -> DataFrame:
+    """The detail fact by opening month: each file holds one month, a heavy month has several."""
+    monthly = detail.withColumn(OPENED_MONTH, F.trunc("data_inicio", "month"))
+    return monthly.hint("rebalance", OPENED_MONTH)
 
 
 def build_marts(
@@ -48,29 +61,33 @@ def build_marts(
 ) -> str:
     """Build everything from raw tables and publish it; returns the build's folder.
 
-    The detail fact is written in one map-side pass. The roll-up is one scan of
-    it, and every mart reads the roll-up. Each build has its own folder under
-    ``out`` and names move to it only once all of it is written.
+    The detail fact is enriched map-side and written by opening month. The roll-up
+    is one scan of it, and every mart reads the roll-up. Each build has its own
+    folder under ``out``. The declared checks run on the written tables; the
+    pointer moves to the build only if all of them pass.
     """
     spark = requests.sparkSession
-    as_of, built_at = as_of or dt.date.today(), built_at or dt.datetime.now()
+    now = spark.sql("select localtimestamp() as l, current_date() as d").first()
+    as_of, built_at = as_of or now["d"], built_at or now["l"]
     build = f"{out.rstrip('/')}/build={uuid.uuid4().hex}"
 
-    def save(df: DataFrame, table: str) -> DataFrame:
+    def save(df: DataFrame, table: str, by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{build}/{table}"
-        df.write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+        df.write.mode("errorifexists").partitionBy(*by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    staged = stage_requests(requests, start)
 
     lookup = territory_lookup(stage_neighbourhoods(areas), max_broadcast_bytes)
     try:
         enriched = enrich(
-            stage_requests(requests, start),
+            staged,
             type_map,
             lookup,
             unique_ids=unique_ids,
             max_broadcast_bytes=max_broadcast_bytes,
         )
-        detail = save(mart_requests(enriched), DETAIL)
+        detail = save(_clustered(mart_requests(enriched)), DETAIL, (OPENED_MONTH,))
     finally:
         lookup.close()
     rolled = save(rollup(measured(detail, as_of)), ROLLUP)
@@ -81,7 +98,15 @@ def build_marts(
     tables["kpis"] = marts.kpis(volume, built_at)
     tables[FRESHNESS] = marts.freshness(volume, built_at)
     with ThreadPoolExecutor(_WRITERS) as pool:
-        list(pool.map(lambda item: save(item[1].coalesce(1), item[0]), tables.items()))
-    for table in (DETAIL, ROLLUP, *tables):
-        _publish(spark, f"{build}/{table}", mart_name(table, database))
+        stored = dict(zip(tables, pool.map(lambda item: save(item[1].coalesce(1), item[0]), tables.items()), strict=True))
+    checked = {f"mart_{table}": df for table, df in stored.items()} | {
+        "stg_chamado": staged,
+        "int_chamados_enriched": detail,
+        "mart_chamados": detail,
+    }
+    broken = run_contract(checked).where("failures > 0").collect()
+    if broken:
+        found = ", ".join(f"{r.table}.{r.column} {r.check}: {r.failures}" for r in broken)
+        raise ContractError(f"{build} is not published: {found}")
+    _publish(spark, build, database)
     return build

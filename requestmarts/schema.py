@@ -65,7 +65,27 @@ DETAIL_SCHEMA = columns(
     "nome_unidade_organizacional string"
 )
 DETAIL_COLUMNS = tuple(DETAIL_SCHEMA.fieldNames())
-LIST_COLUMNS = DETAIL_COLUMNS[:14]
+# Partition directory of the stored detail fact; a range of opening dates then skips months.
+OPENED_MONTH = "mes_inicio"
+STORED_DETAIL_SCHEMA = T.StructType([*DETAIL_SCHEMA.fields, T.StructField(OPENED_MONTH, T.DateType())])
+
+# --- fixed values: columns of lists, filters and sorting ----------------------
+LIST_COLUMNS = (
+    "id_chamado",
+    "data_inicio",
+    "data_fim",
+    "prazo_atendimento",
+    "tipo",
+    "subtipo",
+    "status",
+    "situacao",
+    "longitude",
+    "latitude",
+    "data_particao",
+    "secretaria",
+    "dias_resolucao",
+    "resolvido_no_prazo",
+)
 
 FILTER_COLUMNS = ("tipo", "subtipo", "secretaria", "status", "situacao")
 SEARCH_COLUMNS = ("id_chamado", *FILTER_COLUMNS)
@@ -81,6 +101,7 @@ SORTABLE_COLUMNS = (
     "resolvido_no_prazo",
 )
 DEFAULT_SORT = "data_inicio"
+# ------------------------------------------------------------------------------
 
 _RATED = "total_chamados bigint, taxa_resolucao_prazo double"
 

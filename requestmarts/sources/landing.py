@@ -19,6 +19,7 @@ from requestmarts.schema import (
 # Partition directory of landed requests; a date cut then skips whole months.
 MONTH_COLUMN = "mes_particao"
 
+# The order in which tables are landed.
 LANDING_ORDER = (
     "regiao_administrativa",
     "area_planejamento",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from requestmarts.schema import TYPE_MAP_SCHEMA
+from requestmarts.schema import STORED_DETAIL_SCHEMA, TYPE_MAP_SCHEMA
+
+DETAIL = "chamados"
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -21,12 +23,39 @@ def read_type_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TYPE_MAP_SCHEMA).csv(path, header=True, escape='"', multiLine=True)
 
 
-def read_mart(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
+def build_name(database: str | None = None) -> str:
+    return f"{database}.mart_build" if database else "mart_build"
+
+
+def current_build(spark: SparkSession, database: str | None = None) -> str | None:
+    """Folder of the published build: the one row of the pointer view."""
+    name = build_name(database)
+    return spark.table(name).first()["folder"] if spark.catalog.tableExists(name) else None
+
+
+def _stored(spark: SparkSession, path: str) -> bool:
+    """A finished write is there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def read_mart(spark: SparkSession, card: str, build: str | None = None, database: str | None = None) -> DataFrame:
+    """A table of the given build, or of the published one. A missing table raises."""
+    build = build or current_build(spark, database)
+    if build is None:
+        raise LookupError(f"no build is published in {build_name(database)}")
+    if not _stored(spark, f"{build}/{card}"):
+        raise LookupError(f"build {build} has no table {card}")
+    # A detail fact without requests has no month directory, and so no file to tell its columns.
+    known = spark.read.schema(STORED_DETAIL_SCHEMA) if card == DETAIL else spark.read
+    return known.parquet(f"{build}/{card}")
 
 
-def read_mart_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
-    """The mart, or an empty frame of its shape if it was never built."""
-    if spark.catalog.tableExists(name):
-        return read_mart(spark, name)
+def read_mart_or_empty(
+    spark: SparkSession, card: str, schema: T.StructType, build: str | None = None, database: str | None = None
+) -> DataFrame:
+    """The table, or an empty frame of its shape if the build has none."""
+    build = build or current_build(spark, database)
+    if build is not None and _stored(spark, f"{build}/{card}"):
+        return read_mart(spark, card, build)
     return spark.createDataFrame([], schema)

@@ -67,6 +67,35 @@ def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def admin_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Administrative regions with a column that landing leaves out: one for each nation."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(
+        "cast(n_nationkey as string) as id_regiao_administrativa",
+        "n_name as nome",
+        "cast(n_regionkey as string) as id_area_planejamento_sms",
+        "n_regionkey as outra",
+    )
+
+
+def planning_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr(
+        "cast(r_regionkey as string) as id_area_planejamento",
+        "r_regionkey as id_area_planejamento_numerico",
+        "'POLYGON EMPTY' as geometry_wkt",
+        "r_name as outra",
+    )
+
+
+def subprefectures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr(
+        "r_name as subprefeitura",
+        "cast(r_regionkey as double) / 2 as area",
+        "cast(r_regionkey as double) * 2 as perimetro",
+        "'POLYGON EMPTY' as geometry_wkt",
+        "r_name as outra",
+    )
+
+
 def type_map(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{tipo}', '{secretaria}')" for tipo, secretaria in TYPE_TO_DEPARTMENT)
     return spark.sql(f"select * from values {rows} as m(tipo, secretaria)")

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-TABLES = ("orders", "customer", "nation")
+TABLES = ("orders", "customer", "nation", "region")
 QUERIES, ORACLES = entry.request_queries(), entry.oracle_sql()
 
 

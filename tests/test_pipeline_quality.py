@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from requestmarts.operators import quality
 from requestmarts.operators.enrich import stage_requests
 from requestmarts.operators.filters import RequestFilter
-from requestmarts.plans.dashboard import REQUIRED_CARDS, collected, dashboard, mart_name
-from requestmarts.plans.pipeline import build_marts
-from requestmarts.schema import CARD_SCHEMAS, DETAIL_SCHEMA
+from requestmarts.plans.dashboard import REQUIRED_CARDS, as_served, collected, dashboard
+from requestmarts.plans import listing
+from requestmarts.plans.pipeline import ContractError, _clustered, build_marts
+from requestmarts.schema import CARD_SCHEMAS, DETAIL_SCHEMA, OPENED_MONTH
 from requestmarts.sources import landing, readers, standin
 from tests import helpers as H
 
@@ -79,8 +80,10 @@ def test_land_all_then_build_then_serve(spark, sources, tmp_path):
         as_of=standin.AS_OF,
         built_at=standin.BUILT_AT,
     )
-    detail = readers.read_mart(spark, mart_name("chamados"))
-    assert [(f.name, f.dataType) for f in detail.schema.fields] == [(f.name, f.dataType) for f in DETAIL_SCHEMA.fields]
+    detail = readers.read_mart(spark, "chamados")
+    own = [f for f in detail.schema.fields if f.name != OPENED_MONTH]
+    assert [(f.name, f.dataType) for f in own] == [(f.name, f.dataType) for f in DETAIL_SCHEMA.fields]
+    assert detail.count() == 7306
     unfiltered = dashboard(detail, RequestFilter())
     assert set(unfiltered) == set(CARD_SCHEMAS)
     for card, df in unfiltered.items():
@@ -88,7 +91,7 @@ def test_land_all_then_build_then_serve(spark, sources, tmp_path):
     kpi = unfiltered["kpis"].first()
     assert (kpi["total_chamados"], kpi["taxa_resolucao_prazo"]) == (7306, 44.29)
     assert str(kpi["atualizado_em"]) == standin.BUILT_AT
-    assert readers.read_mart(spark, mart_name("freshness")).count() == 1
+    assert readers.read_mart(spark, "freshness").count() == 1
 
     # A blank search is active, so it recomputes, and must give the marts' numbers.
     recomputed = dashboard(detail, RequestFilter(q=" "), as_of=standin.AS_OF)
@@ -99,7 +102,7 @@ def test_land_all_then_build_then_serve(spark, sources, tmp_path):
         {
             "stg_chamado": stage_requests(landed, standin.SINCE),
             "int_chamados_enriched": detail,
-            **{t: readers.read_mart(spark, t) for t in ("mart_chamados", "mart_by_department", "mart_kpis", "mart_monthly_volume", "mart_top_types")},
+            **{f"mart_{t}": readers.read_mart(spark, t) for t in ("chamados", "by_department", "kpis", "monthly_volume", "top_types")},
         }
     ).collect()
     assert len(checks) == 15 and all(r["failures"] == 0 for r in checks)
@@ -110,7 +113,7 @@ def test_land_all_then_build_then_serve(spark, sources, tmp_path):
         str(tmp_path / "marts"), start=standin.SINCE, as_of=standin.AS_OF,
     )
     assert second != build
-    assert readers.read_mart(spark, mart_name("kpis")).first()["total_chamados"] == 0
+    assert readers.read_mart(spark, "kpis").first()["total_chamados"] == 0
     assert spark.read.parquet(f"{build}/kpis").first()["total_chamados"] == 7306
 
 
@@ -128,11 +131,55 @@ def test_missing_source_is_named(sources, tmp_path):
         landing.land_all({k: v for k, v in sources.items() if k != "bairro"}, str(tmp_path))
 
 
-def test_missing_mart_is_empty_only_where_allowed(spark):
-    empty = readers.read_mart_or_empty(spark, "mart_nunca_feita", CARD_SCHEMAS["by_category"])
+def test_a_build_that_breaks_the_contract_is_not_published(spark, sources, tmp_path):
+    def build(requests, database=None, **options):
+        return build_marts(
+            requests, standin.type_map(spark), sources["bairro"], str(tmp_path / "marts"), start=standin.SINCE, as_of=standin.AS_OF, **options
+        )
+
+    raw = sources["chamado"].withColumnRenamed("data_alvo_finalizacao", "prazo_atendimento")
+    good = build(raw)
+    assert readers.current_build(spark) == good
+    twice = raw.unionByName(raw.where("status = 'Pendente'"))
+    with pytest.raises(ValueError, match="repeat"):
+        build(twice)
+    with pytest.raises(ContractError, match="id_chamado unique"):
+        build(twice, unique_ids=False)
+    with pytest.raises(ContractError, match="id_chamado not_null"):
+        build(raw.withColumn("id_chamado", F.expr("nullif(id_chamado, '1')")), unique_ids=False)
+    assert readers.current_build(spark) == good
+
+
+def test_served_cards_hold_departments_in_scope_and_no_null_counts(spark):
+    late = CARD_SCHEMAS["late_region_by_department"]
+    stored = spark.createDataFrame([("A", "SMS", None, None), ("B", "Outros", 3, 1.0), ("C", None, 3, 1.0)], late)
+    served = as_served("late_region_by_department", stored)
+    assert served.schema.fieldNames() == late.fieldNames()
+    assert H.rows_of(served) == [("A", "SMS", 0, None)]
+    types = spark.createDataFrame([("t", "Outros", 1)], CARD_SCHEMAS["top_types"])
+    assert as_served("top_types", types).count() == 1
+
+
+def test_stored_detail_is_pruned_by_month_and_keeps_rows_without_a_date(spark, tmp_path):
+    days = ["2024-01-31 23:59:59", "2024-02-01 00:00:00", "2024-03-05 10:00:00", None]
+    rows = H.detail(spark, [{"data_inicio": d} for d in days])
+    _clustered(rows).write.partitionBy(OPENED_MONTH).parquet(str(tmp_path / "detail"))
+    stored = spark.read.parquet(str(tmp_path / "detail"))
+    assert stored.count() == 4
+    filt = RequestFilter(data_inicio_from="2024-02-01", data_inicio_to="2024-03-05")
+    for df in (filt.apply(stored), listing.export_rows(stored, filt)):
+        assert f"PartitionFilters: [isnotnull({OPENED_MONTH}" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 2
+    assert H.rows_of(filt.apply(stored).select("id_chamado")) == H.rows_of(filt.apply(rows).select("id_chamado"))
+
+
+def test_missing_mart_is_empty_only_where_allowed(spark, tmp_path):
+    empty = readers.read_mart_or_empty(spark, "nunca_feita", CARD_SCHEMAS["by_category"], str(tmp_path))
     assert empty.count() == 0 and empty.schema == CARD_SCHEMAS["by_category"]
-    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
-        readers.read_mart(spark, "mart_nunca_feita").collect()
+    with pytest.raises(LookupError, match="nunca_feita"):
+        readers.read_mart(spark, "nunca_feita", str(tmp_path))
+    with pytest.raises(LookupError, match="no build"):
+        readers.read_mart(spark, "kpis", database="sem_marts")
     assert "by_category" not in REQUIRED_CARDS
 
 

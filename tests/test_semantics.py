@@ -15,6 +15,7 @@ from requestmarts.operators.enrich import (
     with_deadline_metrics,
     with_department,
 )
+from requestmarts.operators.measures import measured
 from tests import helpers as H
 
 
@@ -64,10 +65,10 @@ def test_on_time_is_never_null(spark):
         ],
     )
     out = with_deadline_metrics(df)
-    late = out.select("id_chamado", S.is_late().alias("late")).orderBy("id_chamado")
+    late = measured(out.withColumn("secretaria", F.lit("SMS"))).select("n_late")
     on_time = [r["resolvido_no_prazo"] for r in out.orderBy("id_chamado").collect()]
     assert on_time == [True, False, False, False]
-    assert [r["late"] for r in late.collect()] == [False, True, False, False]
+    assert sorted(r["n_late"] for r in late.collect()) == [0, 0, 0, 1]
 
 
 def test_unmapped_types_are_out_of_scope(spark):
