@@ -124,5 +124,11 @@ def test_long_chains_and_empty_tables(spark):
     n = 300
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(n + 1)}
+    star = spark.createDataFrame([(50, i) for i in range(50)] + [(100 + i, 50) for i in range(30)], "a long, b long")
+    for hub_degree in (3, 10**6):
+        assert {r.root for r in components(star.union(chain), hub_degree).collect()} == {0}
+        assert {(r.node, r.root) for r in components(star, hub_degree).collect()} == {
+            (i, 0) for i in [*range(51), *range(100, 130)]
+        }
     assert components(chain.limit(0)).collect() == []
     assert rows(simhash.near_duplicates(documents(spark, []))) == []
