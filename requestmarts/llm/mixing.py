@@ -14,8 +14,9 @@ arithmetic makes the result the same on any engine.
 * Null domain, language or source is a branch of its own, named ``?``. Weights of
   branches that are not listed are 1.
 * Null and empty texts have no token; they are taken with the prefix they stand in.
-* Ties in the seeded order fall to the smaller id; a document is taken if it ends
-  within the leaf's budget, so a leaf spends at most its budget.
+* Ties in the seeded order fall to the smaller id. A document is taken if it starts
+  within the leaf's budget: the prefix ends in the last one taken, whole documents are
+  kept, and no leaf with a budget goes empty because its first document is longer.
 * Repeated rows are documents of their own. An empty table gives no row.
 """
 
@@ -162,7 +163,7 @@ def mix(
     ordered = global_prefix(
         joined.withColumn("_order", F.md5(epoch.cast("binary"))), ["leaf"], "_order", [id_column], "n_tokens", "_before"
     )
-    copies = F.col("_whole") + F.when(F.col("_before") + F.col("n_tokens") <= F.col("_part"), 1).otherwise(0)
+    copies = F.col("_whole") + F.when(F.col("_before") < F.col("_part"), 1).otherwise(0)
     return ordered.select(
         id_column,
         *LEVELS,

@@ -63,6 +63,6 @@ ordered as (
   from tree t join spent s on s.leaf = t.leaf
 )
 select doc_id, domain, lang, source, n_tokens, leaf_budget,
-  least(whole + case when upto <= part then 1 else 0 end, 2)::bigint as copies
+  least(whole + case when upto - n_tokens < part then 1 else 0 end, 2)::bigint as copies
 from ordered
 """

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from requestmarts.llm import langid, mixing
-from tests.llm.helpers import documents, rows
+from tests.llm.helpers import awkward, documents, rows
 from tests.llm.test_decontaminate import brute as brute_contamination
 from tests.llm.test_sharding import check_law
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -73,3 +73,28 @@ def test_repeated_and_null_rows_are_sampled_as_often_as_their_copies(spark):
         found = mixing.sampled_documents(docs, {}, percent, epochs)
         assert found.columns == docs.columns
         assert Counter(r["doc_id"] for r in rows(found)) == +want
+
+
+@pytest.mark.parametrize("given", [[], "awkward"])
+def test_stages_take_awkward_rows_and_keep_all_columns(spark, sf_dir, tmp_path, given):
+    text = "The of and with that this is a sentence of some words number {}"
+    rows_in = awkward() + [(80 + i, text.format(i // 2)) for i in range(6)] if given else []
+    docs = documents(spark, rows_in)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "sharding":
+            assert docs.columns == columns
+            assert all((r["doc_id"], r["text"]) in set(rows_in) for r in rows(docs))
+    check_law(rows(docs))
+    assert bool(rows_in) == bool(rows(docs))
+
+
+def test_near_duplicates_and_decontamination_take_null_texts(spark, sf_dir):
+    docs = documents(spark, awkward())
+    kept = rows(corpus_pipeline.near_duplicates(spark, docs, sf_dir))
+    assert sum(r["text"] is None or not r["text"].strip() for r in kept) == 1
+    assert len(rows(corpus_pipeline.decontamination(spark, docs, sf_dir))) == len(awkward())
+    assert corpus_pipeline.mixture(spark, docs, sf_dir).columns == docs.columns
