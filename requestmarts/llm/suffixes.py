@@ -7,9 +7,9 @@ updates the collection's Burrows-Wheeler transform and common prefixes. Over who
 texts that takes as many rounds over all data as the longest text has bytes, so the
 documents of a collection are here the surroundings of shared anchors:
 
-1. Of every run of 305 consecutive 96-byte strings the one with the smallest hash is an
-   anchor. Equal windows hold an anchor at the same place, so a repeated window lies in
-   the 704 bytes around two anchors of equal hash.
+1. A window's anchor is the 96-byte string in it with the smallest hash. Equal windows
+   have their anchor at the same place, so a repeated window lies in the surroundings
+   (at most 704 bytes: all windows of an anchor) of two anchors of equal hash.
 2. Hashes and digests of surroundings are counted with map-side sums. An anchor that
    occurs once is dropped. If all surroundings of an anchor agree, all windows in them
    are repeated.
@@ -75,49 +75,78 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
-def sliding(x: np.ndarray, size: int, least: bool) -> np.ndarray:
-    """Least or greatest of every ``size`` in a row."""
-    pick, fill = (np.minimum, np.uint64(2**64 - 1)) if least else (np.maximum, np.uint64(0))
+def least_of(x: np.ndarray, size: int) -> np.ndarray:
+    """Least of every ``size`` in a row."""
     rows = -(-len(x) // size)
-    padded = np.full(rows * size, fill)
+    padded = np.full(rows * size, np.iinfo(x.dtype).max, x.dtype)
     padded[: len(x)] = x
     blocks = padded.reshape(rows, size)
-    ahead = pick.accumulate(blocks, axis=1).ravel()
-    behind = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(x) - size + 1
-    return pick(behind[:n], ahead[size - 1 : size - 1 + n])
+    return np.minimum(behind[:n], ahead[size - 1 : size - 1 + n])
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of strings that are smallest in some window."""
+PLACE = np.uint64(2**31 - 1)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first window, last window) of each anchor.
+
+    A window's anchor is its string with the smallest hash (by the upper 33 bits), the
+    leftmost of equal ones, so it depends on the window alone. The windows of an
+    anchor stand in a row.
+    """
     hashes = gram_hashes(data)
-    size = SPAN + 1
-    least = sliding(hashes, size, True)
-    # A position is smallest in a window if no window around it has only smaller ones.
-    around = np.concatenate((np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)))
-    at = np.flatnonzero(sliding(around, size, False) == hashes)
-    return at, hashes[at]
+    placed = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    of_window = (least_of(placed, SPAN + 1) & PLACE).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], of_window[1:] != of_window[:-1])))
+    last = np.concatenate((first[1:] - 1, [len(of_window) - 1]))
+    at = of_window[first]
+    return at, hashes[at], first, last
+
 
+Place = tuple[int, int, int, int, int, int]
 
-def surrounding(raw: bytes, at: int) -> tuple[int, bytes]:
-    """Bytes before the anchor, and the anchor with up to ``SPAN`` bytes on either side."""
-    left = min(at, SPAN)
-    return left, raw[at - left : at + GRAM + SPAN]
+
+def surroundings(raw: bytes) -> list[Place]:
+    """(hash, digest, place, last place, bytes before, bytes from the anchor on) of each surrounding.
+
+    A surrounding is the bytes of all windows of an anchor. Where the same one comes again
+    without a gap, as in periodic text, it is one row from its first to its last place.
+    """
+    out: list[Place] = []
+    seen: dict[tuple[int, int], int] = {}
+    columns = anchors(np.frombuffer(raw, np.uint8))
+    for p, h, a, b in zip(*(c.tolist() for c in columns), strict=True):
+        end = b + WINDOW
+        digest = xxhash.xxh64_intdigest(raw[a:end], p - a)
+        i = seen.get((h, digest))
+        if i is not None and a <= out[i][3] + out[i][5]:
+            out[i] = (*out[i][:3], p, *out[i][4:])
+        else:
+            seen[h, digest] = len(out)
+            out.append((h, digest, p, p, p - a, end - p))
+    return out
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, places, hashed, digests, rows = [], [], [], [], 0
+    keys, counts, rows = [], [], []
 
     def flushed() -> pa.RecordBatch:
-        index = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in places]))
+        hashes, digests, at, until, left, right = zip(*rows, strict=True)
+        index = pa.array(np.repeat(np.arange(len(keys), dtype=np.int32), counts))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(hashed).view(np.int64)),
+                pa.array(np.array(hashes, np.uint64).view(np.int64)),
                 pa.array(np.array(digests, np.uint64).view(np.int64)),
                 pa.array(keys, pa.binary()).take(index),
-                pa.array(np.concatenate(places).astype(np.int32)),
+                pa.array(at, pa.int32()),
+                pa.array(until, pa.int32()),
+                pa.array(np.array(left, np.int16)),
+                pa.array(np.array(right, np.int16)),
             ],
-            ["hash", "ctx", "key", "at"],
+            ["hash", "ctx", "key", "at", "until", "left", "right"],
         )
 
     for batch in batches:
@@ -125,22 +154,18 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_py()
             if len(raw) < WINDOW:
                 continue
-            at, hashes = anchors(np.frombuffer(raw, np.uint8))
+            own = surroundings(raw)
             keys.append(key.as_py())
-            places.append(at)
-            hashed.append(hashes)
-            for p in at.tolist():
-                left, part = surrounding(raw, p)
-                digests.append(xxhash.xxh64_intdigest(part, left))
-            rows += len(at)
-            if rows >= FLUSH_ROWS:
+            counts.append(len(own))
+            rows += own
+            if len(rows) >= FLUSH_ROWS:
                 yield flushed()
-                keys, places, hashed, digests, rows = [], [], [], [], 0
+                keys, counts, rows = [], [], []
     if rows:
         yield flushed()
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, ctx, many, left, part) for the listed anchors of each packed text."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -148,7 +173,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for packed, listed in zip(batch.column(0), batch.column(1), strict=True):
             raw = unpack.decompress(packed.as_py())
             for a in listed.as_py():
-                out.append((a["hash"], a["ctx"], a["many"], *surrounding(raw, a["at"])))
+                part = raw[a["at"] - a["left"] : a["at"] + a["right"]]
+                out.append((a["hash"], a["ctx"], a["many"], a["left"], part))
             if len(out) >= TOGETHER:
                 yield _rows(out)
                 out = []
@@ -284,31 +310,38 @@ def keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
 def marks(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(key, low, high): byte ranges under repeated windows, by MD5 of the text."""
     texts = keyed(docs)
-    found = texts.mapInArrow(_anchored, "hash long, ctx long, key binary, at int")
+    found = texts.mapInArrow(
+        _anchored, "hash long, ctx long, key binary, at int, until int, left short, right short"
+    )
     place = F.xxhash64("key", "at")
     shared = (
         found.groupBy("hash")
         .agg(
             (F.min("ctx") != F.max("ctx")).alias("several"),
-            (F.min(place) != F.max(place)).alias("repeated"),
+            ((F.min(place) != F.max(place)) | F.max(F.col("until") > F.col("at"))).alias("repeated"),
         )
         .where("repeated")
         .select("hash", "several")
     )
-    # Anchors that occur twice or more: a small part of all, read several times.
+    # Anchors that occur twice or more: a part of all, read several times.
     places = checkpointed(found.join(shared, "hash").distinct())
     whole = places.where("not several").select(
-        "key", F.greatest(F.col("at") - SPAN, F.lit(0)).alias("low"), (F.col("at") + GRAM + SPAN).alias("high")
+        "key", (F.col("at") - F.col("left")).alias("low"), (F.col("until") + F.col("right")).alias("high")
     )
-    several = places.where("several")
+    several = places.where("several").select("hash", "ctx", "key", "at", "until", "left", "right")
     classes = several.groupBy("hash", "ctx").agg(
-        F.min(F.struct("key", "at")).alias("one"), (F.count(F.lit(1)) > 1).alias("many")
+        F.min(F.struct("key", "at")).alias("one"),
+        ((F.count(F.lit(1)) > 1) | F.max(F.col("until") > F.col("at"))).alias("many"),
+        F.min("left").alias("left"),
+        F.min("right").alias("right"),
+    )
+    classes = checkpointed(classes.select("hash", "ctx", "many", "left", "right", "one.key", "one.at"))
+    listed = classes.groupBy("key").agg(
+        F.collect_list(F.struct("hash", "ctx", "many", "at", "left", "right")).alias("listed")
     )
-    classes = checkpointed(classes.select("hash", "ctx", "many", "one.key", "one.at"))
-    listed = classes.groupBy("key").agg(F.collect_list(F.struct("hash", "ctx", "many", "at")).alias("listed"))
     once = texts.select("key", packed("text").alias("packed")).groupBy("key").agg(F.first("packed").alias("packed"))
     parts = once.join(listed, "key").select("packed", "listed").mapInArrow(
-        _surroundings, "hash long, ctx long, many boolean, left int, part binary"
+        _parts, "hash long, ctx long, many boolean, left int, part binary"
     )
     # Anchors with more surroundings than a task holds: found from the narrow classes.
     large = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("hash")
@@ -337,7 +370,7 @@ def marks(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
             hit.groupBy("hash", "ctx").agg(F.min("start").alias("low"), (F.max("start") + WINDOW).cast("int").alias("high"))
         )
     partly = several.join(verdicts, ["hash", "ctx"]).select(
-        "key", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")
+        "key", (F.col("at") + F.col("low")).alias("low"), (F.col("until") + F.col("high")).alias("high")
     )
     size = F.octet_length("text")
     copies = texts.select("key", size.alias("n")).where(F.col("n") >= WINDOW).groupBy("key", "n").count().where("count > 1")

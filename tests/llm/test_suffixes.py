@@ -92,13 +92,25 @@ def test_column_wise_rounds_find_the_shared_windows_of_a_collection():
         assert (first[i], last[i]) == ((at[0], at[-1]) if at else (-1, -1))
 
 
-def test_every_window_holds_an_anchor_at_the_same_place():
+def test_equal_windows_have_their_anchor_at_the_same_place():
     raw = np.random.default_rng(0).integers(97, 101, 5000).astype(np.uint8)
     raw[3000:3600] = raw[100:700]
-    at = set(suffixes.anchors(raw)[0].tolist())
-    assert all(any(p in at for p in range(i, i + 305)) for i in range(len(raw) - 399))
-    assert {p for p in range(3104, 3400) if p in at} == {p + 2900 for p in range(204, 500) if p in at}
-    assert len(at) < 120
+    at, _, first, last = suffixes.anchors(raw)
+    of_window = np.repeat(at, last - first + 1)
+    starts = np.arange(len(raw) - 399)
+    assert len(of_window) == len(starts)
+    assert ((of_window >= starts) & (of_window <= starts + 304)).all()
+    assert (of_window[3000:3201] - 3000 == of_window[100:301] - 100).all()
+    assert len(at) < 80
+
+
+def test_periodic_text_is_few_rows_and_equals_brute_force(spark):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    period, line = "onhe. Is ", noise(37) + "\n"
+    texts = [noise(rnd.randint(0, 300)) + (u * 900)[: rnd.randint(380, 1500)] + noise(rnd.randint(0, 300)) for u in (period, line, "zz", period, line) for _ in range(4)]
+    compare(spark, list(enumerate(texts)))
+    assert len(suffixes.surroundings((period * 2000).encode())) < 70
 
 
 def test_empty_table(spark):
