@@ -48,7 +48,8 @@ def domain_of(source: Column) -> Column:
 def path(depth: int, columns: dict[str, Column] | None = None) -> Column:
     """Path of the first ``depth`` levels; the empty path is the root. A slash in a name is ``%2F``."""
     names = [F.replace(F.replace((columns or {}).get(c, F.col(c)), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")) for c in LEVELS[:depth]]
-    return F.concat_ws("/", *names) if depth else F.lit("")
+    # The root's path is a value of the row, not a literal, so that joining it stays an equi-join.
+    return F.concat_ws("/", *names) if depth else F.substring(F.col(LEVELS[0]), 1, 0)
 
 
 def capacities(leaves: DataFrame, depth: int, max_epochs: int) -> DataFrame:
@@ -88,9 +89,9 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, percent: int, max_epochs
     The tree has one row for each (domain, language, source); it is aggregated from
     all documents and never larger than their distinct combinations.
     """
-    total = leaves.agg(F.sum("tokens").alias("t"))
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
     given = total.select(
-        F.lit("").alias("node"),
+        F.substring(F.col("t").cast("string"), 1, 0).alias("node"),
         F.expr(f"cast(least(cast(t as {EXACT}) * {percent} div 100, cast(t as {EXACT}) * {max_epochs}) as {EXACT})").alias(
             "budget"
         ),

@@ -82,7 +82,8 @@ def test_a_leaf_spends_its_budget_and_less_than_a_document_more(spark, sf_dir):
 
 def test_main_path_runs_no_python(spark, sf_dir):
     df = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_empty_table_and_null_columns(spark):
