@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from requestmarts.llm.text import NOT_BLANK, global_prefix
+from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, measured_bytes
 from requestmarts.sources.checkpoints import checkpointed
 
 LEVELS = ("domain", "lang", "source")
@@ -158,7 +159,10 @@ def mix(
         F.expr("case when tokens = 0 then 1 else cast(budget as bigint) div tokens end").alias("_whole"),
         F.expr("case when tokens = 0 then 0 else cast(budget as bigint) % tokens end").alias("_part"),
     )
-    joined = rows.join(spent, F.col("leaf") == F.col("_leaf")).drop("_leaf")
+    # One row a leaf, measured; a leaf with a third of all rows then needs no task of its own.
+    spent = checkpointed(spent)
+    small = measured_bytes(spent) <= MAX_BROADCAST_BYTES
+    joined = rows.join(F.broadcast(spent) if small else spent, F.col("leaf") == F.col("_leaf")).drop("_leaf")
     # The order of the epoch of which only a prefix is used.
     epoch = F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.col(id_column).cast("string"), "_text")
     ordered = global_prefix(
