@@ -2,16 +2,21 @@
 
 The patterns give the base spans. The field labels further tokens (``secret`` as well):
 
-* its nodes are the tokens with a digit, ``@`` or ``=``; every other token is clamped to
-  "none", so the chain falls into the stretches between them;
+* its nodes are the tokens with a digit, ``@`` or ``=``, the values that a cue
+  (``password``, ``token``, ...) names, and all tokens of the document with the same form
+  as such a value, whatever their characters; every other token is clamped to "none", so
+  the chain falls into the stretches between them;
 * neighbouring nodes share transition potentials, and each occurrence of a token is
   linked to the next one with the same or a similar form (its letters and digits in
   lower case, or its last seven digits), however distant;
 * loopy sum-product message passing runs over all these edges at once, so a form that
   is clear in one place is labelled alike in the whole document.
 
-Tokens inside base spans are clamped to their kind and act as evidence. An unclamped
-token becomes a span if one label's belief is at least ``BELIEF``.
+Tokens inside base spans are clamped to their kind, values assigned to a cue by ``=`` or
+``:`` to "secret"; both act as evidence, and an assigned value is a span itself. A token
+with the form of an assigned value has a feature for it and is linked to that value too,
+so evidence does not fade from repeat to repeat. An unclamped token becomes a span if one
+label's belief is at least ``BELIEF``.
 
 Weights are learned from base spans and assigned secrets of a bounded sample
 (``SAMPLE`` documents with the smallest hash of their id): a softmax regression on
@@ -53,6 +58,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NODE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@=]*+[0-9@=][^\x20\x09-\x0D]*+")
 SECRET = re.compile(r"(?i)\b(?:password|passwd|secret|token|api_?key)\x20?=\x20?\"?([^\x20\x09-\x0D\"]+)")
+#: A value assigned to a cue: what ``SECRET`` names, and the same after other cues, a colon or a quoted name.
+ASSIGNED = re.compile(
+    r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20?(?:=(?!=)|:(?!:))\x20?[\"']?([^\x20\x09-\x0D\"]+)"
+)
+NAME = re.compile(r"(?i)(?:password|passwd|secret|token|api_?key)")
+OTHER = re.compile(r"\W")
+TOKEN = re.compile(r"[^\x20\x09-\x0D]++")
+BLANKS = frozenset(" \t\n\r\x0b\x0c")
 CUE = re.compile(r"(?i)(?:password|passwd|secret|token|api_?key)\W{0,3}$")
 CONTACT_CUE = re.compile(r"(?i)(?:call|phone|tel|fax|mobile)\W{0,3}$")
 MARKS = "\"'.,;:!?()[]<>="
@@ -118,16 +131,18 @@ class Nodes:
     """The field's nodes in one text."""
 
     spans: list[tuple[int, int]]
-    known: np.ndarray  # label of tokens inside base spans, else -1
+    known: np.ndarray  # label of tokens inside base spans and of assigned values, else -1
     features: np.ndarray  # nodes x features
     chain: np.ndarray  # edges between neighbouring tokens
-    skip: np.ndarray  # edges between an occurrence of a form and the next
+    skip: np.ndarray  # edges between an occurrence of a form and the next, or the assigned value
 
 
-FEATURES = 19
+FEATURES = 20
+#: The feature of tokens with the form of a value that the document assigns elsewhere.
+REPEATS = 19
 
 
-def token_features(text: str, start: int, end: int) -> list[int]:
+def token_features(text: str, start: int, end: int, repeats: bool = False) -> list[int]:
     """Positions of the features that hold for the token."""
     token = text[start:end]
     before = text[max(0, start - 24) : start]
@@ -154,19 +169,67 @@ def token_features(text: str, start: int, end: int) -> list[int]:
         bool(CUE.search(before)) or bool(CUE.search(token.partition("=")[0])) and "=" in token,
         bool(CONTACT_CUE.search(before)),
         "@" not in token,
+        repeats,
     ]
     return [i for i, x in enumerate(on) if x]
 
 
-def forms(token: str) -> list[str]:
+def forms(token: str, assigns: bool = True) -> list[str]:
     """Forms under which occurrences of a token, or of the value it assigns, are linked."""
-    plain = "".join(c for c in (token.partition("=")[2] or token).lower() if c.isalnum())
+    plain = plain_form(assigns and token.partition("=")[2] or token)
     digits = "".join(c for c in plain if c in "0123456789")
     return [f for f in (plain if len(plain) >= 4 else "", "#" + digits[-7:] if len(digits) >= 7 else "") if f]
 
 
-def nodes_of(text: str, base: list[Span]) -> Nodes:
-    spans = [m.span() for m in NODE.finditer(text)]
+def plain_form(token: str) -> str:
+    low = token.lower()
+    return low if low.isalnum() else "".join(c for c in low if c.isalnum())
+
+
+def assigned_values(text: str) -> list[tuple[int, int]]:
+    """Places of the values assigned to cues, without the marks around them."""
+    spans = [bare(text, *m.span(1)) for m in ASSIGNED.finditer(text)]
+    return [(a, b) for a, b in spans if plain_form(text[a:b])]
+
+
+def cued_tokens(text: str) -> list[tuple[int, int]]:
+    """Tokens for which ``CUE`` holds, at most three other characters after the name."""
+    out = []
+    for m in NAME.finditer(text):
+        at = m.end()
+        while at < min(m.end() + 3, len(text) - 1) and OTHER.match(text, at):
+            at += 1
+            if text[at - 1] in BLANKS and text[at] not in BLANKS:
+                out.append(TOKEN.match(text, at).span())
+    return out
+
+
+def token_around(text: str, start: int, end: int) -> tuple[int, int]:
+    while start > 0 and text[start - 1] not in BLANKS:
+        start -= 1
+    return start, TOKEN.match(text, start).end()
+
+
+def node_spans(text: str, values: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tokens that are nodes, in their order; ``values`` are the assigned ones."""
+    spans = {m.span() for m in NODE.finditer(text)}
+    named = cued_tokens(text)
+    if not named and not values:
+        return sorted(spans)
+    spans.update(named)
+    spans.update(token_around(text, *v) for v in values)
+    same = {plain_form(text[a:b]) for a, b in (*named, *values)}
+    same = {form for form in same if len(form) >= 4}
+    if same:
+        spans.update(m.span() for m in TOKEN.finditer(text) if plain_form(m.group()) in same)
+    return sorted(spans)
+
+
+def nodes_of(text: str, base: list[Span], values: list[tuple[int, int]] | None = None) -> Nodes:
+    values = assigned_values(text) if values is None else values
+    spans = node_spans(text, values)
+    told = {form for a, b in values for form in forms(text[a:b], False)}
+    homes, repeats, first = {}, [], 0
     known = np.full(len(spans), -1, np.int64)
     features = np.zeros((len(spans), FEATURES), np.float32)
     chain, skip, last, at = [], [], {}, 0
@@ -176,17 +239,34 @@ def nodes_of(text: str, base: list[Span]) -> Nodes:
             reach.append(base[at])
             at += 1
         reach = [s for s in reach if s[1] > start]
+        while first < len(values) and values[first][1] <= start:
+            first += 1
+        own = [v for v in values[first : first + 1] if v[0] < end]
+        links = forms(text[own[0][0] : own[0][1]], False) if own else forms(text[start:end])
+        if not own and "=" in text[start:end] and (whole := plain_form(text[start:end])) in told and whole not in links:
+            links = [*links, whole]  # the assigned value holds a sign of assignment itself
         if reach:
             known[i] = RANK[reach[0][2]]
-        features[i, token_features(text, start, end)] = 1
+        elif own:
+            known[i] = RANK["secret"]
+            for form in links:
+                homes.setdefault(form, i)
+        if not own and any(f in told for f in links):
+            repeats.append((i, links))
+        features[i, token_features(text, start, end, bool(repeats) and repeats[-1][0] == i)] = 1
         if i and text[spans[i - 1][1] : start].strip(" \t\n\r\x0b\x0c") == "" and start - spans[i - 1][1] <= 2:
             chain.append((i - 1, i))
         linked = set()
-        for form in forms(text[start:end]):
+        for form in links:
             if form in last and last[form] not in linked:
                 linked.add(last[form])
                 skip.append((last[form], i))
             last[form] = i
+    linked = set(skip)
+    for i, links in repeats:
+        for home in {homes[f] for f in links if f in homes}:
+            if (min(i, home), max(i, home)) not in linked:
+                skip.append((min(i, home), max(i, home)))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Nodes(spans, known, features, pairs(chain), pairs(skip))
 
@@ -234,22 +314,45 @@ def beliefs(field: Field, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:
 
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans that the field adds to the base ones."""
-    if not (DIGIT.search(text) or "@" in text or "=" in text):
-        return []
-    nodes = nodes_of(text, base)
-    if not (nodes.known < 0).any():
+    if not (DIGIT.search(text) or "@" in text or "=" in text or NAME.search(text)):
         return []
-    p = beliefs(field, nodes)
-    best = p.argmax(axis=1)
-    chosen = (nodes.known < 0) & (best > 0) & (p.max(axis=1) >= BELIEF)
-    spans = [(*trimmed(text, *nodes.spans[i]), LABELS[best[i]]) for i in np.flatnonzero(chosen)]
-    return [s for s in spans if s[0] < s[1]]
+    values = assigned_values(text)
+    nodes = nodes_of(text, base, values)
+    secret = nodes.known == RANK["secret"]
+    clear = [nodes.spans[i] for i in np.flatnonzero(secret)]
+    spans = [(a, b, "secret") for a, b in within(values, clear)]
+    if (nodes.known < 0).any():
+        p = beliefs(field, nodes)
+        best = p.argmax(axis=1)
+        chosen = (nodes.known < 0) & (best > 0) & (p.max(axis=1) >= BELIEF)
+        told = {plain_form(text[a:b]) for a, b in values}
+        for i in np.flatnonzero(chosen):
+            place = nodes.spans[i]
+            cut = bare if told and plain_form(text[slice(*place)]) in told else trimmed
+            spans.append((*cut(text, *place), LABELS[best[i]]))
+    return sorted(s for s in spans if s[0] < s[1])
+
+
+def within(values: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The values that stand in one of the tokens; both in their order."""
+    out, i = [], 0
+    for a, b in values:
+        while i < len(tokens) and tokens[i][1] <= a:
+            i += 1
+        if i < len(tokens) and tokens[i][0] < b:
+            out.append((a, b))
+    return out
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     """The token without an assigned name and without marks around it."""
     token = text[start:end]
     start += token.rfind("=") + 1 if "=" in token.rstrip("=\"") else 0
+    return bare(text, start, end)
+
+
+def bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """The place without marks around it."""
     while start < end and text[start] in MARKS:
         start += 1
     while end > start and text[end - 1] in MARKS:
@@ -278,9 +381,10 @@ def scan(text: str | None, field: Field) -> dict:
 
 
 def taught(text: str) -> tuple[Nodes, np.ndarray]:
-    """Nodes with the labels they are taught: base kinds, assigned secrets, none."""
+    """Nodes with the labels they are taught: base kinds, assigned secrets and their repeats, none."""
     nodes = nodes_of(text, base_spans(text))
     labels = np.maximum(nodes.known, 0)
+    labels[(nodes.known < 0) & (nodes.features[:, REPEATS] > 0)] = RANK["secret"]
     secret = [m.span(1) for m in SECRET.finditer(text)]
     for i, (start, end) in enumerate(nodes.spans):
         if nodes.known[i] < 0 and any(a < end and b > start for a, b in secret):
@@ -311,7 +415,8 @@ def learn(counts: list[tuple[int, int, int, int]], steps: int = 800) -> Field:
     nodes = [(f, x, n) for kind, f, x, n in sorted(counts) if kind == 0]
     weights = np.zeros((FEATURES, k))
     weights[0, 0] = 3.0  # without evidence a token is nothing
-    weights[FEATURES - 1, RANK["email"]] = -4.0  # the sample has few tokens that are neither, so this is given
+    weights[18, RANK["email"]] = -4.0  # the sample has few tokens that are neither, so this is given
+    weights[REPEATS, RANK["secret"]] = 6.0  # few documents of a sample repeat a secret, so this is given too
     if nodes:
         bits = np.array([f for f, _, _ in nodes])
         x = ((bits[:, None] >> np.arange(FEATURES)) & 1).astype(float)

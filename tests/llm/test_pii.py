@@ -94,6 +94,26 @@ def test_a_clear_place_labels_a_distant_repeat(spark, sf_dir):
     assert len(spans) == 2 and {s[2] for s in spans} == {"secret"}
 
 
+def test_secrets_of_letters_alone_and_all_their_repeats_are_spans(spark, sf_dir):
+    field = pii.learned_field(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    filler = " word" * 300 + " "
+    for told, value, again in (
+        ("password=swordfish", "swordfish", ["swordfish", "Sword-fish,"]),
+        ("api_key = abcdefghij", "abcdefghij", ["(abcdefghij)"]),
+        ("password: hunterxyz", "hunterxyz", ["hunterxyz"] * 30),
+        ('{"token":"abcdefgh"}', "abcdefgh", ["abcdefgh abcdefgh abcdefgh."]),
+        ("db_password=abc=def==", "abc=def", ["abc=def"]),
+    ):
+        places = [filler.join(["", again[0], told, *again[1:], ""]), filler.join([told, *again])]
+        for text in places:
+            found = pii.added_spans(text, [], field)
+            plain = [text[a:b].replace("-", "").lower() for a, b, _ in found]
+            times = 1 + sum(x.replace("-", "").lower().count(value) for x in again)
+            assert plain == [value] * times and {k for _, _, k in found} == {"secret"}
+    assert not pii.added_spans(f"the secret agent met {filler} an agent", [], field)
+    assert not pii.added_spans(f"swordfish {filler} swordfish", [], field)
+
+
 def test_message_passing_is_exact_on_a_tree():
     rng = np.random.default_rng(0)
     k = len(pii.LABELS)
