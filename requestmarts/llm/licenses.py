@@ -11,8 +11,10 @@ count. Every input row gives one row; other columns are not used.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -109,24 +111,36 @@ def word_numbers(line: bytes, starts: list[int]) -> list[int]:
 
 
 def fuzzy_spans(line: bytes, own: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the notice in the line; each stretch near seeds is matched once."""
-    reach = len(own.words) + own.edits
-    near = sorted(at - offset for seed, offset in own.seeds for at in places(line, seed))
-    stretches: list[list[int]] = []
-    for start in near:
-        low, high = max(0, start - own.edits), min(len(line), start + reach)
-        if stretches and low <= stretches[-1][1]:
-            stretches[-1][1] = max(stretches[-1][1], high)
-        else:
-            stretches.append([low, high])
-    found = []
-    for low, high in stretches:
-        at = low
-        while match := own.fuzzy.search(line, at, high):
-            found.append((match.start(), match.end(), sum(match.fuzzy_counts)))
-            at = max(match.end(), at + 1)
-    # The best match of a stretch can leave others before it.
-    return sorted(found)
+    """(start, end, edits) of the notice in the line: the best match of what is free, until none is left.
+
+    Every match stands in the surroundings of one of its seeds, so each search is as short
+    as the notice. Surroundings that a better match has taken in part are searched again
+    in what is left of them, before it and after it.
+    """
+    least, reach = len(own.words) - own.edits, len(own.words) + own.edits
+    waiting: list[tuple[int, int, int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []
+
+    def search(low: int, high: int) -> None:
+        match = own.fuzzy.search(line, low, high) if high - low >= least else None
+        if match and match.end() > match.start():
+            heappush(waiting, (sum(match.fuzzy_counts), match.start(), match.end(), low, high))
+
+    for start in sorted({at - offset for seed, offset in own.seeds for at in places(line, seed)}):
+        search(max(0, start - own.edits), min(len(line), start + reach))
+    while waiting:
+        edits, start, end, low, high = heappop(waiting)
+        i = bisect_right(taken, (start, end, own.edits))
+        if not (i and taken[i - 1][1] > start or i < len(taken) and taken[i][0] < end):
+            insort(taken, (start, end, edits))
+        i = bisect_right(taken, (low,))
+        i -= bool(i and taken[i - 1][1] > low)
+        while i < len(taken) and taken[i][0] < high:
+            search(low, taken[i][0])
+            low = taken[i][1]
+            i += 1
+        search(low, high)
+    return taken
 
 
 def scan(text: bytes | None, table: list[Notice]) -> tuple:

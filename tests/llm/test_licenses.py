@@ -62,6 +62,16 @@ def test_notices_within_the_bound_are_found_with_their_edits(spark):
     assert row["notices"][0]["last_word"] == 10
 
 
+def test_every_copy_of_a_repeated_notice_is_found(spark):
+    good, bad = "licensed under the apache license version 2 0", "licensed under the apache lisense version 2 0"
+    texts = [[bad] * 20 + [good], [bad, good] * 5, [good, bad, bad], [bad] * 3000 + [good]]
+    found = {r["doc_id"]: r["notices"] for r in rows(licenses.scan_licenses(documents(spark, [" ".join(x) for x in texts])))}
+    for i, copies in enumerate(texts):
+        own = [s for s in found[i] if s["label"] == "notice-apache-2.0"]
+        assert [(s["matched"], s["edits"]) for s in own] == [(c, int(c == bad)) for c in copies]
+        assert [s["first_word"] for s in own] == [8 * k for k in range(len(copies))]
+
+
 def test_notices_beyond_the_bound_are_not_found(spark):
     [row] = rows(licenses.scan_licenses(documents(spark, ["permission is granted to some persons of charge"])))
     assert row["labels"] == "" and row["score"] == 0 and row["notices"] == []
