@@ -11,6 +11,13 @@ smallest hash of their id, and of each text up to ``TRAIN_WINDOWS`` windows spre
 evenly over it. Rows whose CRC-32 of the id leaves 1 by 3 are held out and never
 learned from. Prediction reads whole texts and nothing but the text.
 
+The network's scores only compare the languages it knows, so it can be sure of any
+bytes. Whether a text is in one of them at all is told by ``familiarity``: the mean log
+probability of each byte after the one before it, in the predicted language, in lower
+case and over letters and the gaps between them only. Its least
+value is learned from the same windows, against the same windows shuffled, and does not
+depend on how many languages there are.
+
 Null texts and texts without a letter are ``und`` with score 0. Empty tables give no
 row; without a labelled row there is no language to learn and all rows are ``und``.
 Repeated rows each get their row. Other columns are not used.
@@ -40,8 +47,12 @@ BATCH = 192
 RATE = 0.03
 #: Windows that run through the network together.
 TOGETHER = 4096
-#: Documents whose best language has less than this mean probability are rejected by ``accepted``.
-LEAST_SCORE = 0.3
+#: Count given to each pair of bytes that the sample could hold.
+UNSEEN = 0.02
+#: ASCII in lower case, with a blank for all that is no letter; other bytes as they are.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bytes whose familiarity is looked up together.
+PIECE = 1 << 20
 
 LETTER = regex.compile(r"\p{L}")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -98,6 +109,8 @@ class Network:
     backward: Direction
     out: np.ndarray  # L x 2H
     bias: np.ndarray  # L x 1
+    pairs: np.ndarray | None = None  # L x 256 x 256: log probability of a byte after another
+    least: np.ndarray | None = None  # L: least familiarity of a text in the language
 
     def arrays(self) -> list[np.ndarray]:
         layers = (self.forward.gates, self.forward.candidate, self.backward.gates, self.backward.candidate)
@@ -200,6 +213,40 @@ def gradients(net: Network, data: np.ndarray, lengths: np.ndarray, labels: np.nd
     return loss, [d_embedding, *grads, d_out, d_bias]
 
 
+def pair_table(texts: list[bytes]) -> np.ndarray:
+    """Log probability of each byte (column) after each byte (row)."""
+    counts = np.full((256, 256), UNSEEN)
+    for text in texts:
+        raw = np.frombuffer(text.translate(FOLDED), np.uint8)
+        np.add.at(counts, (raw[:-1], raw[1:]), 1)
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def familiarity(text: bytes, table: np.ndarray) -> float:
+    """Mean log probability of the bytes of a text, each after the one before it."""
+    raw, total, n = np.frombuffer(text.translate(FOLDED), np.uint8), 0.0, 0
+    for at in range(0, len(raw) - 1, PIECE):
+        part = raw[at : at + PIECE + 1]
+        on = (part[:-1] != 32) | (part[1:] != 32)
+        total += float(table[part[:-1][on], part[1:][on]].sum(dtype=np.float64))
+        n += int(on.sum())
+    return total / max(1, n)
+
+
+def least_familiarity(texts: list[bytes], rng: np.random.Generator) -> float:
+    """Midway between the language's windows and the same windows shuffled.
+
+    Windows are judged by a table learned from the other half of them.
+    """
+    halves = [texts[::2], texts[1::2]] if len(texts) > 1 else [texts, texts]
+    clean, mixed = [], []
+    for own, other in (halves, halves[::-1]):
+        table = pair_table(other)
+        clean += [familiarity(text, table) for text in own]
+        mixed += [familiarity(rng.permutation(np.frombuffer(text, np.uint8)).tobytes(), table) for text in own]
+    return float(np.median(clean) + np.median(mixed)) / 2
+
+
 def train(rows: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = 1) -> Network | None:
     """A network from (language, window) rows; None without rows. Adam, with clipped gradients."""
     languages = sorted({lang for lang, text in rows if text})
@@ -224,9 +271,25 @@ def train(rows: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = 1) ->
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    own = [[text for lang, text in rows if lang == language] for language in languages]
+    net.pairs = np.stack([pair_table(texts) for texts in own])
+    net.least = np.array([least_familiarity(texts, rng) for texts in own])
     return net
 
 
+def recognised(net: Network | None, texts: list[str | None]) -> list[bool]:
+    """Whether each text is in the language that the network finds best."""
+    found = predictions(net, texts)
+    out = []
+    for text, (lang, _) in zip(texts, found, strict=True):
+        known = lang != UNKNOWN
+        if known and net.pairs is not None:
+            i = net.languages.index(lang)
+            known = familiarity(text.encode(), net.pairs[i]) >= net.least[i]
+        out.append(bool(known))
+    return out
+
+
 def predictions(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
     """Best language and its mean probability over all bytes of each text."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -337,8 +400,12 @@ def identify_languages(docs: DataFrame, net: Network | None = None, id_column: s
 
 
 def accepted(docs: DataFrame, net: Network | None = None, id_column: str = "doc_id") -> DataFrame:
-    """The documents, all columns, that have a language with at least ``LEAST_SCORE``."""
+    """The documents, all columns, that are in a language of the table."""
     net = net or train(training_rows(docs, id_column))
-    found = docs.withColumn("_language_of_row", identify(docs, net))
-    known = (F.col("_language_of_row.lang_pred") != UNKNOWN) & (F.col("_language_of_row.score") >= LEAST_SCORE)
-    return found.where(known).drop("_language_of_row")
+
+    @F.arrow_udf(returnType=T.BooleanType())
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array(recognised(net, texts.to_pylist()), pa.bool_())
+
+    found = docs.withColumn("_language_of_row", known(docs["text"]))
+    return found.where("_language_of_row").drop("_language_of_row")

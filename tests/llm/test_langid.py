@@ -84,3 +84,15 @@ def test_rejected_documents_go(spark, sf_dir, net):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert -1 not in ids and len(ids) >= 0.99 * 1000
+
+
+def test_shuffled_text_and_unlearned_scripts_go_and_clean_rows_stay(spark, sf_dir, net):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = [r.text for r in docs.where(langid.held_out("doc_id") & (docs.text != "")).collect()]
+    rng = np.random.default_rng(5)
+    shuffled = ["".join(rng.permutation(list(t))) for t in held[:100]]
+    cyrillic, greek = (["".join(chr(a + ord(c) % n) if c.isalpha() else c for c in t) for t in held[:100]] for a, n in ((0x430, 32), (0x3B1, 24)))
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)) for _ in range(100)]
+    assert np.mean(langid.recognised(net, held)) >= 0.99
+    for texts in (shuffled, cyrillic, greek, noise):
+        assert np.mean(langid.recognised(net, texts)) <= 0.02
