@@ -189,7 +189,7 @@ def sampled_documents(
 ) -> DataFrame:
     """The sampled documents, all columns, each as often as the epochs that hold it."""
     chosen = mix(docs, weights, percent, max_epochs, seed, id_column, keep_digest=True)
-    # Rows equal in id, leaf and text are interchangeable: the n-th of them takes the n-th number of copies.
+    # Rows equal in id, leaf and text share their epochs: each has the whole ones, the first of them one more.
     same = [id_column, "leaf", "_text"]
     copies = chosen.groupBy(*same).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     copies = copies.where("_copies > 0").select(
@@ -202,6 +202,9 @@ def sampled_documents(
     )
     columns = docs.columns
     single = found.where("_rows = 1")
-    repeated = found.where("_rows > 1").dropDuplicates(["_id", "_leaf", "_digest"])
+    order = Window.partitionBy("_id", "_leaf", "_digest").orderBy(F.md5(F.to_json(F.struct(*columns)).cast("binary")))
+    repeated = found.where("_rows > 1").withColumn("_at", F.row_number().over(order))
+    own = F.expr("_copies div _rows + case when _at <= _copies % _rows then 1 else 0 end")
+    repeated = repeated.withColumn("_copies", own).where("_copies > 0").drop("_at")
     both = single.unionByName(repeated)
     return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)

@@ -90,3 +90,16 @@ def test_empty_table_and_null_columns(spark):
     assert rows(mixing.mix(spark.createDataFrame([], SCHEMA))) == []
     [row] = rows(mixing.mix(spark.createDataFrame([tuple([None] * 12)], SCHEMA)))
     assert (row["lang"], row["source"], row["n_tokens"]) == ("?", "?", 0)
+
+
+def test_sampled_rows_with_the_same_id_and_text_stay_themselves(spark):
+    given = [(i % 4, f"a b c {i % 4}", "en", "s", i, *[None] * 7) for i in range(24)] + [(9, "x y", "en", "s", 99, *[None] * 7)]
+    frame = spark.createDataFrame(given, SCHEMA)
+    taken = lambda percent, epochs: [r.n_chars for r in mixing.sampled_documents(frame, {}, percent, epochs).collect()]
+    assert sorted(taken(100, 1)) == sorted(r[4] for r in given)
+    assert sorted(taken(200, 2)) == sorted([r[4] for r in given] * 2)
+    for percent, epochs in ((50, 1), (150, 2)):
+        copies = sum(r["copies"] for r in rows(mixing.mix(frame, {}, percent, epochs)))
+        found = taken(percent, epochs)
+        assert len(found) == copies
+        assert max(map(found.count, found)) == epochs and (epochs == 1 or set(found) == {r[4] for r in given})
