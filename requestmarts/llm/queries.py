@@ -37,6 +37,10 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op5_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op6_pair_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_covering_anchors,
         op4_winnowing,
         op5_rule_ledger,
+        op5_rule_ablations,
         op6_pair_merging,
         op7_short_notices,
         op8_recurrent_bytes,
@@ -85,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_winnowing": op4.SQL,
         "op5_rule_ledger": op5.SQL,
+        "op5_rule_ablations": op5.ABLATIONS,
         "op9_hierarchical_budget": op9.SQL,
     }

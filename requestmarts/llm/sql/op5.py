@@ -38,3 +38,20 @@ b as (
 )
 select *, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, 'web-2' as policy from b
 """
+
+#: Rows that fail each rule of each policy, fail it alone, and are kept with and without it.
+ABLATIONS = f"""
+with ledger as ({SQL}),
+rules(rule, bit) as (
+  values ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16),
+    ('emphasis', 32)
+),
+policies(policy, mask) as (values ('base-1', 3), ('web-1', 31), ('web-2', 63))
+select policy, rule,
+  count(*) filter ((failed_bits & bit) <> 0) as failed,
+  count(*) filter ((failed_bits & mask) = bit) as failed_only_this,
+  count(*) filter ((failed_bits & mask) = 0) as kept,
+  count(*) filter ((failed_bits & mask & ~bit) = 0) as kept_without
+from (select failed_bits from ledger) as l cross join policies join rules on (mask & bit) <> 0
+group by policy, rule
+"""

@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from requestmarts.llm import rules
+from requestmarts.llm import queries, rules
 from tests.llm.helpers import awkward, documents, rows
 
 W = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,10 @@ def test_ablations_equal_a_recount(spark, sf_dir):
             assert row["kept_without"] == sum(h in (0, 1 << rule.bit) for h in hits)
 
 
+def test_ablations_are_a_query_with_sql():
+    assert "op5_rule_ablations" in queries.queries() and "op5_rule_ablations" in queries.oracle_sql()
+
+
 def test_main_path_runs_no_python(spark, sf_dir):
     df = rules.apply_policy(rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     plan = df._jdf.queryExecution().executedPlan().toString()
