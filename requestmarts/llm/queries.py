@@ -9,8 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from requestmarts.llm import decontaminate, langid, licenses, mixing, pii, rules, sharding, simhash, suffixes, tokens
-from requestmarts.llm.sql import op4, op5, op9
+from requestmarts.llm import (
+    decontaminate,
+    divergence,
+    filter_audit,
+    langid,
+    licenses,
+    mixing,
+    pii,
+    rules,
+    sharding,
+    simhash,
+    suffixes,
+    tokens,
+)
+from requestmarts.llm.sql import op4, op5, op9, op11, op12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +82,14 @@ def op10_column_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_removal_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_term_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_skip_chain_field,
@@ -82,6 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_recurrent_bytes,
         op9_hierarchical_budget,
         op10_column_wise,
+        op11_removal_potentials,
+        op12_term_transducers,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
@@ -92,4 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_rule_ledger": op5.SQL,
         "op5_rule_ablations": op5.ABLATIONS,
         "op9_hierarchical_budget": op9.SQL,
+        "op11_removal_potentials": op11.SQL,
+        "op12_term_transducers": op12.SQL,
     }

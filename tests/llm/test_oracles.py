@@ -15,7 +15,7 @@ ORACLES = queries.oracle_sql()
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     return con
 
