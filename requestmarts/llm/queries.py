@@ -16,6 +16,7 @@ from requestmarts.llm import (
     langid,
     licenses,
     mixing,
+    piecewise,
     pii,
     rules,
     sharding,
@@ -90,6 +91,10 @@ def op12_term_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_skip_chain_field,
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_column_wise,
         op11_removal_potentials,
         op12_term_transducers,
+        op13_piecewise_hashes,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
