@@ -415,12 +415,22 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dashboard": _over(dashboard()),
         "dashboard_department": _over(dashboard(), "secretaria = 'SMS'"),
+        "dashboard_cube_days": _over(
+            dashboard(),
+            "tipo = 'HOUSEHOLD-1' and cast(data_inicio as date) between date '1997-06-10' and date '2000-02-20'",
+        ),
+        "dashboard_served_search": _over(dashboard(), COMMON_WHERE),
         "dashboard_from_marts": _over(dashboard()),
         "dashboard_filtered": _over(dashboard(), COMMON_WHERE),
         "search_text": _over(f"select {fact} from m", "concat_ws('|', id_chamado, tipo, subtipo, secretaria, status, situacao) ilike '%solução%'"),
         "list_page": _over(page(1, 20, "data_inicio desc nulls last, id_chamado desc")),
         "list_page_sorted": _over(page(3, 50, "data_fim asc nulls last, id_chamado asc"), LIST_WHERE),
         "list_page_middle": _over(page(31, 100, "data_inicio desc nulls last, id_chamado desc")),
+        "list_page_months": _over(
+            page(9, 100, "status asc nulls last, id_chamado asc"),
+            "cast(data_inicio as date) between date '1997-02-01' and date '2000-02-29'",
+        ),
+        "list_page_narrowed": _over(page(12, 50, "tipo desc nulls last, id_chamado desc"), LIST_WHERE),
         "list_filtered": _over(EXPORT, "tipo = 'HOUSEHOLD-1' and subtipo = '1-URGENT' and status = 'Fechado com solução'"),
         "list_page_beyond": _over(page(10**9, 100, "status desc nulls last, id_chamado desc"), LIST_WHERE),
         "page_info": _over(page_info(10**9, 20), LIST_WHERE),

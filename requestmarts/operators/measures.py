@@ -8,6 +8,7 @@ row per combination of dimensions. Marts read either.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from requestmarts.schema import TERRITORY_COLUMNS
 TERRITORY_DIMENSIONS = ("secretaria", *TERRITORY_COLUMNS, "nome_unidade_organizacional")
 VOLUME_DIMENSIONS = ("secretaria", "tipo", "categoria", "periodo")
 DIMENSIONS = tuple(dict.fromkeys((*TERRITORY_DIMENSIONS, *VOLUME_DIMENSIONS)))
+# A dimension no filter asks for, so it is never one of the territory cube.
+_VOLUME_ONLY = "categoria"
 
 
 def _counted(condition: str) -> str:
@@ -51,8 +54,9 @@ _OPTIONAL = {
 }
 
 
-def measured(detail: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
-    """One measured row per request. ``as_of`` dates the backlog; None is today."""
+def measured(detail: DataFrame, as_of: dt.date | str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """One measured row per request. ``as_of`` dates the backlog; None is today.
+    ``extra`` are further columns to keep."""
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in detail.columns}
     if missing:
         detail = detail.withColumns(missing)
@@ -60,7 +64,7 @@ def measured(detail: DataFrame, as_of: dt.date | str | None = None) -> DataFrame
     as_of_day = "current_date()" if as_of is None else f"date'{as_of}'"
     age = f"if(data_fim is null, cast(datediff({as_of_day}, data_inicio) as bigint), null)"
     return detail.select(
-        *(period if d == "periodo" else F.col(d) for d in DIMENSIONS),
+        *(period if d == "periodo" else F.col(d) for d in (*DIMENSIONS, *extra)),
         *(F.expr(sql.format(age=age)).alias(c) for c, sql in _COUNTERS.items()),
         F.col("data_particao").alias("newest_partition"),
     )
@@ -75,16 +79,16 @@ def on_time_rate() -> Column:
     return S.pct("sum(n_on_time)", "sum(n_with_deadline)", 2)
 
 
-def rollup(m: DataFrame) -> DataFrame:
+def rollup(m: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """All measures by territory and unit, and by type, category and month.
 
     Grouping sets give both cubes in one scan, and their sizes add up instead of
     multiplying. ``cube`` tells the rows apart. Requests collapse map-side, so
-    only distinct combinations are shuffled.
+    only distinct combinations are shuffled. Both have ``extra`` dimensions as well.
     """
-    sets = [[F.col(c) for c in TERRITORY_DIMENSIONS], [F.col(c) for c in VOLUME_DIMENSIONS]]
-    territory_only = F.grouping("tipo") == 1
-    return m.groupingSets(sets, *(F.col(c) for c in DIMENSIONS)).agg(
+    sets = [[F.col(c) for c in dict.fromkeys((*own, *extra))] for own in (TERRITORY_DIMENSIONS, VOLUME_DIMENSIONS)]
+    territory_only = F.grouping(_VOLUME_ONLY) == 1
+    return m.groupingSets(sets, *(F.col(c) for c in dict.fromkeys((*DIMENSIONS, *extra)))).agg(
         F.when(territory_only, "territory").otherwise("volume").alias("cube"),
         *(F.sum(c).alias(c) for c in COUNTERS),
         F.max("newest_partition").alias("newest_partition"),

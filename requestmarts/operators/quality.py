@@ -57,10 +57,11 @@ CONTRACT: tuple[tuple[str, str, str], ...] = (
 )
 
 
-def _failures(table: str, df: DataFrame, checks: list[tuple[str, str]]) -> list[DataFrame]:
-    """One pass for all not-null and accepted-value checks, one per unique check."""
+def _failures(df: DataFrame, wanted: dict[tuple[str, str], list[str]]) -> list[DataFrame]:
+    """One pass for all not-null and accepted-value checks, one per unique check. ``wanted``
+    has, for each (column, check), the tables it is reported for."""
     in_one_pass = {}
-    for column, check in checks:
+    for column, check in wanted:
         if check == "not_null":
             in_one_pass[column, check] = F.count_if(F.col(column).isNull())
         elif check == "accepted_values":
@@ -70,7 +71,7 @@ def _failures(table: str, df: DataFrame, checks: list[tuple[str, str]]) -> list[
     if in_one_pass:
         counts = df.agg(*(c.alias(f"{column} {check}") for (column, check), c in in_one_pass.items()))
         passes.append((counts, list(in_one_pass)))
-    for column, check in checks:
+    for column, check in wanted:
         if check == "unique":
             n = F.count(F.lit(1)).alias(f"{column} {check}")
             passes.append((check_unique(df, [column]).agg(n), [(column, check)]))
@@ -85,6 +86,7 @@ def _failures(table: str, df: DataFrame, checks: list[tuple[str, str]]) -> list[
                     F.col(f"`{column} {check}`").alias("failures"),
                 )
                 for column, check in names
+                for table in wanted[column, check]
             )
         )
         out.append(counts.select(F.inline(rows)))
@@ -97,10 +99,12 @@ def run_contract(tables: dict[str, DataFrame]) -> DataFrame:
     Unique and accepted-value checks count distinct offending values, not-null
     checks count rows.
     """
-    results: list[DataFrame] = []
-    for table in dict.fromkeys(t for t, _, _ in CONTRACT):
+    frames: dict[int, tuple[DataFrame, dict[tuple[str, str], list[str]]]] = {}
+    for table, column, check in CONTRACT:
         if table not in tables:
             raise ValueError(f"no table {table} to check")
-        checks = [(c, check) for t, c, check in CONTRACT if t == table]
-        results += _failures(table, tables[table], checks)
+        # Tables that are one frame are read once.
+        _, wanted = frames.setdefault(id(tables[table]), (tables[table], {}))
+        wanted.setdefault((column, check), []).append(table)
+    results = [counts for df, wanted in frames.values() for counts in _failures(df, wanted)]
     return reduce(DataFrame.unionByName, results)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from requestmarts.functions.geometry import bounds, edge_overlaps, strictly_inside, wkt_edges
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, lookup_join, measured_bytes
 from requestmarts.schema import TERRITORY_COLUMNS
+from requestmarts.sources.checkpoints import checkpointed
 
 _CELLS_PER_EXTENT = 16
 
@@ -109,31 +110,26 @@ class TerritoryLookup:
     def small(self) -> bool:
         return self.candidates is not None
 
-    def close(self) -> None:
-        """Release the cached grid."""
-        self.cells.unpersist()
-        if self.candidates is not None:
-            self.candidates.unpersist()
-
 
 def territory_lookup(
     areas: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> TerritoryLookup:
     """Prepare staged neighbourhoods.
 
-    The grid is cached: one aggregate over it tells the levels in use and whether
+    The grid is written once to checkpoint storage, so each lookup owns its own and no
+    other can drop it: one aggregate over it tells the levels in use and whether
     everything fits in a broadcast, then the lookups read it.
     """
     by_id = areas.where("geometry_wkt is not null and id_bairro is not null").select(
         "id_bairro", *TERRITORY_COLUMNS
     )
-    cells = polygon_cells(areas).persist()
+    cells = checkpointed(polygon_cells(areas))
     found = cells.agg(
         F.sort_array(F.collect_set("level")).alias("levels"),
         F.expr(f"coalesce(sum({_ENTRY_BYTES}), 0L)").alias("n"),
     ).first()
     small = found["n"] + measured_bytes(by_id) <= max_broadcast_bytes
-    candidates = _candidates(cells).persist() if small else None
+    candidates = checkpointed(_candidates(cells)) if small else None
     return TerritoryLookup(by_id, cells, tuple(found["levels"]), candidates)
 
 
@@ -250,7 +246,8 @@ def resolve_by_shuffle(requests: DataFrame, lookup: TerritoryLookup) -> DataFram
     """Territory where the neighbourhoods are too many to broadcast: salted joins,
     and only the points' answers are joined back by the unique request id."""
     flagged = _flagged_by_id(requests, lookup)
-    points = geo_by_point(_located(flagged.where("_by_id is null")), lookup).selectExpr(
+    # Rows without an id have no territory; left in, all of them would meet in one task.
+    points = geo_by_point(_located(flagged.where("_by_id is null and id_chamado is not null")), lookup).selectExpr(
         "id_chamado", *(f"{c} as _point_{c}" for c in TERRITORY_COLUMNS)
     )
     return flagged.join(points, "id_chamado", "left").selectExpr(

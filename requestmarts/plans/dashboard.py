@@ -5,16 +5,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter
 from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
-from requestmarts.plans import marts
+from requestmarts.plans import cubes, marts
 from requestmarts.schema import CARD_SCHEMAS, DEPARTMENTS
-from requestmarts.sources.readers import current_build, read_mart, read_mart_or_empty
+from requestmarts.sources.checkpoints import checkpointed
+from requestmarts.sources.readers import DETAIL, current_build, read_mart, read_mart_or_empty
 
 REGION, SUBPREFECTURE = "regiao_administrativa", "subprefeitura"
 
@@ -56,26 +57,28 @@ DEPARTMENT_CARDS = (
 REQUIRED_CARDS = ("kpis", "backlog", "sla_breakdown", "monthly_volume", "by_department", "top_types")
 
 
-class Cards(dict[str, DataFrame]):
-    """Cards by name. ``release`` frees the roll-up they share, if they do."""
+Cards = dict[str, DataFrame]
 
-    shared: DataFrame | None = None
+# A roll-up of at most so many rows is read by one task: the cards then shuffle nothing.
+ONE_TASK_ROWS = 100_000
 
-    def release(self) -> None:
-        if self.shared is not None:
-            self.shared.unpersist()
+
+def in_one_task(rolled: DataFrame) -> DataFrame:
+    """A stored roll-up, read by one task if it was counted to be small."""
+    return rolled.coalesce(1) if rolled.count() <= ONE_TASK_ROWS else rolled
 
 
 def cards_from_rollup(rolled: DataFrame) -> Cards:
-    """Every card from one roll-up, without a build time. The roll-up is small and
-    kept in executor storage for them; what an executor loses is computed again."""
-    rolled = rolled.persist()
+    """Every card from one roll-up, without a build time.
+
+    The roll-up is written once to checkpoint storage, so the plans of the cards begin
+    there and nothing stays in executor storage.
+    """
+    rolled = in_one_task(checkpointed(rolled))
     volume, territory = volume_cube(rolled), territory_cube(rolled)
     cards = {card: build(volume) for card, build in VOLUME_CARDS.items() if card != "kpis"}
     cards |= {card: build(territory) for card, build in TERRITORY_CARDS.items()}
-    out = Cards(kpis=marts.kpi_response(marts.kpis_filtered(volume)), **cards)
-    out.shared = rolled
-    return out
+    return {"kpis": marts.kpi_response(marts.kpis_filtered(volume)), **cards}
 
 
 def as_served(card: str, df: DataFrame) -> DataFrame:
@@ -87,10 +90,10 @@ def as_served(card: str, df: DataFrame) -> DataFrame:
     return marts.kpi_response(df) if card == "kpis" else df
 
 
-def cards_from_marts(spark: SparkSession, database: str | None = None) -> Cards:
-    """Every card of the published build. The pointer is read once, so all are of one build."""
-    build = current_build(spark, database)
-    cards = Cards()
+def cards_from_marts(spark: SparkSession, database: str | None = None, build: str | None = None) -> Cards:
+    """Every card of a build, the published one if none is named. The pointer is read once, so all are of one build."""
+    build = build or current_build(spark, database)
+    cards: Cards = {}
     for card, schema in CARD_SCHEMAS.items():
         required = card in REQUIRED_CARDS
         stored = read_mart(spark, card, build) if required else read_mart_or_empty(spark, card, schema, build)
@@ -105,13 +108,32 @@ def dashboard(
     as_of: dt.date | str | None = None,
     database: str | None = None,
 ) -> Cards:
-    """All cards by name. A filtered dashboard scans the detail fact once: its cards
-    share one roll-up, which the caller releases."""
+    """All cards by name. A filtered dashboard scans the given detail fact once."""
     if not filt.active:
         return cards_from_marts(detail.sparkSession, database)
     return cards_from_rollup(rollup(measured(filt.apply(detail), as_of)))
 
 
+def served_dashboard(
+    spark: SparkSession,
+    filt: RequestFilter,
+    *,
+    as_of: dt.date | str | None = None,
+    build: str | None = None,
+    database: str | None = None,
+) -> Cards:
+    """All cards of a build: its marts, else the smallest of its cubes that holds the filter's
+    columns, else (free text) its detail fact."""
+    build = build or current_build(spark, database)
+    if not filt.active:
+        return cards_from_marts(spark, build=build)
+    detail = read_mart(spark, DETAIL, build)
+    answer = cubes.match(spark, build, filt)
+    if answer is None:
+        return cards_from_rollup(rollup(measured(filt.apply(detail), as_of)))
+    return cards_from_rollup(cubes.rolled_up(spark, build, answer, detail, as_of))
+
+
 def collected(cards: dict[str, DataFrame], at_once: int = 4) -> dict[str, list[Row]]:
     """The rows of every card. Cards are independent small jobs, so several run at
     once; their rows are rankings and group totals, never requests."""
@@ -121,18 +143,14 @@ def collected(cards: dict[str, DataFrame], at_once: int = 4) -> dict[str, list[R
 
 def long_form(cards: dict[str, DataFrame]) -> DataFrame:
     """All cards as (card, key1, key2, key3, metric, value), one row per number."""
-    out = None
+    parts = []
     for card, df in cards.items():
-        keys = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "date")]
-        metrics = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "double")]
-        padded = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (3 - len(keys))
-        values = F.array(
-            *(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)
-        )
-        rows = df.select(
-            F.lit(card).alias("card"),
-            *(k.alias(f"key{i}") for i, k in enumerate(padded, 1)),
-            F.inline(values),
+        fields = [(f.name, f.dataType.typeName()) for f in df.schema.fields]
+        keys = [f"cast({name} as string)" for name, kind in fields if kind in ("string", "date")]
+        keys += ["cast(null as string)"] * (3 - len(keys))
+        values = ", ".join(
+            f"struct('{name}' as metric, cast({name} as double) as value)" for name, kind in fields if kind in ("long", "double")
         )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        named = (f"{key} as key{i}" for i, key in enumerate(keys, 1))
+        parts.append(df.selectExpr(f"'{card}' as card", *named, f"inline(array({values}))"))
+    return reduce(DataFrame.union, parts)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, sort_column
+from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, sample, splits_of
+from requestmarts.plans import rank_index
 from requestmarts.schema import FILTER_COLUMNS, LIST_COLUMNS
+from requestmarts.sources.readers import DETAIL, current_build, read_mart
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_PAGE_SIZE = 20
@@ -20,9 +22,6 @@ MAX_PAGE_SIZE = 100
 
 # Rows that may meet in one task to find a page; a list with more is narrowed first.
 DIRECT_ROWS = 100_000
-# Ranges of a round of narrowing: groups of splits, so that a row is placed in two short searches.
-_GROUP = 32
-_SPLITS = _GROUP * _GROUP
 
 
 def _check_paging(page: int, page_size: int, sort_order: str) -> None:
@@ -63,56 +62,43 @@ def page_info(detail: DataFrame, filt: RequestFilter, page: int = 1, page_size:
     )
 
 
-def _key(value: str, row_id: str, descending: bool) -> str:
-    """Place of a row in the list as a struct that compares like it; NULLs stand last."""
-    flag = "is not null" if descending else "is null"
-    return f"struct({value} {flag} as n, {value} as v, {row_id} {flag} as m, {row_id} as i)"
+def _narrow(rows: DataFrame, splits: Splits, offset: int, size: int) -> tuple[DataFrame, int, int]:
+    """Only the part of the list around the page: (rows, offset in them, how many).
 
+    One scan counts the ranges between the splits. Where the splits are decides how much
+    is cut off, never what is shown.
+    """
+    placed = rows.select(splits.place().alias("_place"))
+    counts = {r["_place"]: r["n"] for r in placed.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = list(accumulate((counts.get(i, 0) for i in range(len(splits.keys) + 1)), initial=0))
+    first = bisect_right(before, offset) - 1
+    last = bisect_left(before, offset + size) - 1
+    return rows.where(splits.between(first, last)), offset - before[first], before[last + 1] - before[first]
 
-def _ranges(splits: list[Row], column: str, kind: str, descending: bool) -> Column:
-    """Number of splits a row has reached, as one folded literal and two short searches."""
-    flag = (lambda x: x is not None) if descending else (lambda x: x is None)
-    keys = [
-        {"n": flag(s["value"]), "v": s["text"], "m": flag(s["id_chamado"]), "i": s["id_chamado"]} for s in splits
-    ]
-    if kind == "boolean":
-        keys = [k | {"v": s["value"]} for k, s in zip(keys, splits, strict=True)]
-    groups = [keys[i : i + _GROUP] for i in range(0, len(keys), _GROUP)]
-    parsed = lambda data, depth: F.from_json(
-        F.lit(json.dumps(data)), f"{'array<' * depth}struct<n: boolean, v: {kind}, m: boolean, i: string>{'>' * depth}"
-    )
-    own = F.expr(_key(column, "id_chamado", descending))
-    reached = (lambda s: own <= s) if descending else (lambda s: own >= s)
-    heads = F.size(F.filter(parsed([g[0] for g in groups], 1), reached))
-    within = F.size(F.filter(F.get(parsed(groups, 2), heads - 1), reached))
-    return F.when(heads == 0, 0).otherwise((heads - 1) * _GROUP + within)
 
+def _page(rows: DataFrame, offset: int, size: int, total: int, sort_by: str | None, sort_order: str) -> DataFrame:
+    """A page of a list of ``total`` rows by a top-k from its nearer end."""
+    order, after = ordering(sort_by, sort_order), total - offset - size
+    if after < offset:
+        return rows.orderBy(*_from_the_end(sort_by, sort_order)).offset(after).limit(size).orderBy(*order)
+    return rows.orderBy(*order).offset(offset).limit(size)
 
-def _narrow(
-    rows: DataFrame, column: str, descending: bool, offset: int, size: int, total: int
-) -> tuple[DataFrame, int, int]:
-    """Only the part of the list around the page: (rows, offset in them, how many).
 
-    One scan samples split keys, one counts all ranges between them. The sample
-    decides how much is cut off, never what is shown.
-    """
+def _narrowed_page(
+    rows: DataFrame, offset: int, size: int, total: int, sort_by: str | None, sort_order: str, direct_rows: int, sampled: list | None
+) -> DataFrame:
+    """A page in the list, narrowed by rounds until at most ``direct_rows`` rows can meet in a task."""
+    column, descending = sort_column(sort_by), sort_order == "desc"
     kind = dict(rows.dtypes)[column]
-    sampled = (
-        rows.select(F.col(column).alias("value"), F.col(column).cast("string").alias("text"), "id_chamado", column)
-        .sample(fraction=min(1.0, 8.0 * _SPLITS / total), seed=7)
-        .orderBy(*ordering(column, "desc" if descending else "asc"))
-        .select("value", "text", "id_chamado")
-        .collect()
-    )
-    splits = sampled[:: max(1, -(-len(sampled) // _SPLITS))]
-    if not splits:
-        return rows, offset, total
-    place = _ranges(splits, column, kind, descending)
-    counts = {r["place"]: r["n"] for r in rows.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = list(accumulate((counts.get(i, 0) for i in range(len(splits) + 1)), initial=0))
-    first = bisect_right(before, offset) - 1
-    last = bisect_left(before, offset + size) - 1
-    return rows.where(place.between(first, last)), offset - before[first], before[last + 1] - before[first]
+    while total > direct_rows and min(offset, total - offset - size) + size > direct_rows:
+        if sampled is None:
+            sampled, _ = sample(rows, [column], SPLITS * SAMPLED_PER_SPLIT)
+        splits = splits_of(sampled, column, kind, descending)
+        narrowed, near, left = _narrow(rows, splits, offset, size)
+        if left == total:
+            break
+        rows, offset, total, sampled = narrowed, near, left, None
+    return _page(rows, offset, size, total, sort_by, sort_order)
 
 
 def list_page(
@@ -128,29 +114,46 @@ def list_page(
 
     The first and the last page are a top-k: each task keeps a page of rows. Any
     other is first narrowed to the ranges around it, until at most ``direct_rows``
-    rows can meet in a task: one count, then a sample, a count of ranges and the
-    read of one range. A round cuts about a thousandfold, so one is enough for
-    1e8 rows and two for 1e11.
+    rows can meet in a task: one scan counts and samples, one counts ranges, one reads
+    a range. A round cuts about a thousandfold, so one is enough for 1e8 rows and two
+    for 1e11. ``served_page`` has the counts of a build and needs the last scan only.
     """
     _check_paging(page, page_size, sort_order)
     rows = filt.apply(detail).select(*LIST_COLUMNS)
-    order = ordering(sort_by, sort_order)
     if page == 1:
-        return rows.orderBy(*order).limit(page_size)
-    total = rows.count()
+        return rows.orderBy(*ordering(sort_by, sort_order)).limit(page_size)
+    # The scan that counts the list samples it as well.
+    sampled, total = sample(rows, [sort_column(sort_by)], SPLITS * SAMPLED_PER_SPLIT)
     offset = (min(page, max(1, ceil(total / page_size))) - 1) * page_size
     size = min(page_size, total - offset)
-    column, descending = sort_column(sort_by), sort_order == "desc"
-    while total > direct_rows and min(offset, total - offset - size) + size > page_size:
-        narrowed, near, left = _narrow(rows, column, descending, offset, size, total)
-        if left == total:
-            break
-        rows, offset, total = narrowed, near, left
-    after = total - offset - size
-    if after < offset:
-        backwards = rows.orderBy(*_from_the_end(sort_by, sort_order)).offset(after).limit(size)
-        return backwards.orderBy(*order)
-    return rows.orderBy(*order).offset(offset).limit(size)
+    return _narrowed_page(rows, offset, size, total, sort_by, sort_order, direct_rows, sampled)
+
+
+def served_page(
+    spark: SparkSession,
+    filt: RequestFilter,
+    page: int = 1,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    sort_by: str | None = None,
+    sort_order: str = "desc",
+    *,
+    build: str | None = None,
+    database: str | None = None,
+    direct_rows: int = DIRECT_ROWS,
+) -> DataFrame:
+    """One page of a build's list. Without a filter, or over whole months, its rank index tells
+    where the page is, and only the ranges that hold it are read, from the months they are in."""
+    _check_paging(page, page_size, sort_order)
+    build = build or current_build(spark, database)
+    detail = read_mart(spark, DETAIL, build)
+    if page == 1 or not rank_index.whole_months(filt):
+        return list_page(detail, filt, page, page_size, sort_by, sort_order, direct_rows)
+    found = rank_index.locate(spark, build, filt, sort_column(sort_by), sort_order == "desc", page, page_size)
+    rows = filt.apply(detail)
+    if found is None:
+        return rows.select(*LIST_COLUMNS).limit(0)
+    near = rows.where(found.predicate).select(*LIST_COLUMNS)
+    return _narrowed_page(near, found.offset, found.size, found.rows_in_ranges, sort_by, sort_order, direct_rows, None)
 
 
 def distinct_values(detail: DataFrame, column: str, filt: RequestFilter) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +18,14 @@ from requestmarts.operators.enrich import (
     stage_requests,
 )
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES
-from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
+from requestmarts.operators.measures import territory_cube, volume_cube
 from requestmarts.operators.quality import run_contract
 from requestmarts.operators.territory import territory_lookup
-from requestmarts.plans import marts
-from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS
+from requestmarts.plans import cubes, marts, rank_index
+from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS, in_one_task
 from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH
 from requestmarts.sources.readers import DETAIL, build_name
 
-ROLLUP = "rollup"
 FRESHNESS = "freshness"
 _WRITERS = 4
 
@@ -46,6 +47,12 @@ def _clustered(detail: DataFrame) -> DataFrame:
     return monthly.hint("rebalance", OPENED_MONTH)
 
 
+def _save_rank_index(save: Callable[[DataFrame, str], DataFrame], detail: DataFrame) -> DataFrame:
+    splits, counts = rank_index.rank_index(detail)
+    save(splits.coalesce(1), rank_index.RANK_SPLITS)
+    return save(counts.coalesce(1), rank_index.RANK_COUNTS)
+
+
 def build_marts(
     requests: DataFrame,
     type_map: DataFrame,
@@ -61,8 +68,9 @@ def build_marts(
 ) -> str:
     """Build everything from raw tables and publish it; returns the build's folder.
 
-    The detail fact is enriched map-side and written by opening month. The roll-up
-    is one scan of it, and every mart reads the roll-up. Each build has its own
+    The detail fact is enriched map-side and written by opening month. The widest cube
+    is one scan of it; the roll-up and the other cubes are summed from that, and every
+    mart from the roll-up. The rank index is two more scans. Each build has its own
     folder under ``out``. The declared checks run on the written tables; the
     pointer moves to the build only if all of them pass.
     """
@@ -79,26 +87,37 @@ def build_marts(
     staged = stage_requests(requests, start)
 
     lookup = territory_lookup(stage_neighbourhoods(areas), max_broadcast_bytes)
-    try:
-        enriched = enrich(
-            staged,
-            type_map,
-            lookup,
-            unique_ids=unique_ids,
-            max_broadcast_bytes=max_broadcast_bytes,
-        )
-        detail = save(_clustered(mart_requests(enriched)), DETAIL, (OPENED_MONTH,))
-    finally:
-        lookup.close()
-    rolled = save(rollup(measured(detail, as_of)), ROLLUP)
-    volume, territory = volume_cube(rolled), territory_cube(rolled)
+    enriched = enrich(
+        staged,
+        type_map,
+        lookup,
+        unique_ids=unique_ids,
+        max_broadcast_bytes=max_broadcast_bytes,
+    )
+    detail = save(_clustered(mart_requests(enriched)), DETAIL, (OPENED_MONTH,))
+    widest = save(cubes.largest(detail, as_of), cubes.WIDEST)
+    rolled = save(cubes.summed(widest, ()), cubes.ROLLUP)
+    # The marts are sums over the roll-up; a small one is read by one task each, without a shuffle.
+    shared = in_one_task(rolled)
+    volume, territory = volume_cube(shared), territory_cube(shared)
 
     tables = {card: make(volume) for card, make in VOLUME_CARDS.items() if card != "kpis"}
     tables |= {card: make(territory) for card, make in TERRITORY_CARDS.items()}
     tables["kpis"] = marts.kpis(volume, built_at)
     tables[FRESHNESS] = marts.freshness(volume, built_at)
+    jobs = {table: partial(save, df.coalesce(1), table) for table, df in tables.items()}
+    jobs |= {name: partial(save, cubes.summed(widest, extra), name) for name, extra in cubes.CUBES.items() if name != cubes.WIDEST}
+    jobs[rank_index.RANK_COUNTS] = partial(_save_rank_index, save, detail)
     with ThreadPoolExecutor(_WRITERS) as pool:
-        stored = dict(zip(tables, pool.map(lambda item: save(item[1].coalesce(1), item[0]), tables.items()), strict=True))
+        # The longest first.
+        running = {name: pool.submit(jobs[name]) for name in reversed(jobs)}
+        stored = {name: running[name].result() for name in jobs}
+        sized = {cubes.ROLLUP: ((), rolled), cubes.WIDEST: (cubes.CUBES[cubes.WIDEST], widest)}
+        sized |= {name: (extra, stored[name]) for name, extra in cubes.CUBES.items() if name != cubes.WIDEST}
+        rows = list(pool.map(lambda c: c[1].count(), sized.values()))
+    kept = [(name, ",".join(extra), n, str(as_of)) for (name, (extra, _)), n in zip(sized.items(), rows, strict=True)]
+    save(spark.createDataFrame(kept, cubes.CUBES_SCHEMA).coalesce(1), cubes.CUBES_TABLE)
+    stored = {table: stored[table] for table in tables}
     checked = {f"mart_{table}": df for table, df in stored.items()} | {
         "stg_chamado": staged,
         "int_chamados_enriched": detail,
