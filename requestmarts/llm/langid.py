@@ -350,18 +350,18 @@ def training_rows(docs: DataFrame, id_column: str = "doc_id", sample: int = SAMP
 
     Ids and languages are ranked first, without reading texts.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(id_column))
-    order = F.xxhash64(id_column)
-    cut = labelled.select(F.col(id_column).alias("_id"), F.col("lang").alias("_lang"), order.alias("_h"))
+    known = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(id_column)
+    labelled = docs.where(known).select(F.col(id_column).alias("id"), "lang", "text")
+    order = F.xxhash64("id")
+    cut = labelled.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), order.alias("_h"))
     # The best of each of 64 slices first, so that no task ranks a whole language.
     slices = Window.partitionBy("_lang", F.pmod("_h", F.lit(64))).orderBy("_h", "_id")
     ranks = Window.partitionBy("_lang").orderBy("_h", "_id")
     best = cut.withColumn("_r", F.row_number().over(slices)).where(F.col("_r") <= sample)
     best = best.withColumn("_r", F.row_number().over(ranks)).where(F.col("_r") <= sample)
     chosen = best.select("_id", "_lang").distinct()
-    found = labelled.join(
-        F.broadcast(chosen), (F.col(id_column).eqNullSafe(F.col("_id"))) & (F.col("lang") == F.col("_lang")), "left_semi"
-    )
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
+    found = labelled.join(F.broadcast(chosen), same, "left_semi")
     # What is learned from a text is a few windows, so only those leave the executors.
     picked = found.select("lang", F.explode(training_windows("text")).alias("w"))
     return sorted((r.lang, bytes(r.w)) for r in picked.collect())
@@ -407,5 +407,4 @@ def accepted(docs: DataFrame, net: Network | None = None, id_column: str = "doc_
     def known(texts: pa.Array) -> pa.Array:
         return pa.array(recognised(net, texts.to_pylist()), pa.bool_())
 
-    found = docs.withColumn("_language_of_row", known(docs["text"]))
-    return found.where("_language_of_row").drop("_language_of_row")
+    return docs.where(known(docs["text"]))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from requestmarts.llm.text import NOT_BLANK, global_prefix
+from requestmarts.llm.text import NOT_BLANK, as_row, global_prefix
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, measured_bytes
 from requestmarts.sources.checkpoints import checkpointed
 
@@ -111,8 +111,8 @@ def branch(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("?"))
 
 
-def leaf_of(docs: DataFrame, domain: Column | None = None) -> Column:
-    """The leaf's path of each row, from its own columns."""
+def leaf_of(docs: DataFrame | Column, domain: Column | None = None) -> Column:
+    """The leaf's path of each row, from its own columns; ``docs`` may be a struct of them."""
     names = {
         "domain": branch(domain_of(docs["source"]) if domain is None else domain),
         "lang": branch(docs["lang"]),
@@ -195,16 +195,16 @@ def sampled_documents(
     copies = copies.where("_copies > 0").select(
         F.col(id_column).alias("_id"), F.col("leaf").alias("_leaf"), F.col("_text").alias("_digest"), "_copies", "_rows"
     )
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    own_leaf = leaf_of(docs)
-    found = docs.join(
-        copies, F.col(id_column).eqNullSafe(F.col("_id")) & (digest == F.col("_digest")) & (own_leaf == F.col("_leaf"))
-    )
-    columns = docs.columns
+    # Columns travel as one, so that none can clash.
+    digest = F.md5(F.coalesce("row.text", F.lit("")).cast("binary"))
+    row = F.col("row")
+    same = row[id_column].eqNullSafe(F.col("_id")) & (digest == F.col("_digest")) & (leaf_of(row) == F.col("_leaf"))
+    found = as_row(docs).join(copies, same)
     single = found.where("_rows = 1")
-    order = Window.partitionBy("_id", "_leaf", "_digest").orderBy(F.md5(F.to_json(F.struct(*columns)).cast("binary")))
+    order = Window.partitionBy("_id", "_leaf", "_digest").orderBy(F.md5(F.to_json("row").cast("binary")))
     repeated = found.where("_rows > 1").withColumn("_at", F.row_number().over(order))
     own = F.expr("_copies div _rows + case when _at <= _copies % _rows then 1 else 0 end")
     repeated = repeated.withColumn("_copies", own).where("_copies > 0").drop("_at")
     both = single.unionByName(repeated)
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return both.select("row", times).select("row.*")

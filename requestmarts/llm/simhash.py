@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from requestmarts.llm.components import components
-from requestmarts.llm.text import LOWER_ASCII
+from requestmarts.llm.text import LOWER_ASCII, as_row
 from requestmarts.sources.checkpoints import checkpointed
 
 SHINGLE = 4
@@ -189,8 +189,10 @@ def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id") -> DataFr
     # Of rows that share the component's id, the one with the smallest digest; null ids as well.
     least = F.min(F.struct("_text", "_id"))
     kept = found.groupBy("root").agg(least.alias("k"), F.count(F.lit(1)).alias("_n")).select("root", "k.*", "_n")
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (digest == F.col("_text"))
-    chosen = docs.join(kept.withColumnRenamed("root", "_root"), same).drop("_id", "_text")
+    # Columns travel as one, so that none can clash.
+    own = F.md5(F.coalesce("row.text", F.lit("")).cast("binary"))
+    same = F.col("row")[id_column].eqNullSafe(F.col("_id")) & (own == F.col("_text"))
+    chosen = as_row(docs).join(kept, same).select("row", "root", "_n")
     # Only ids that occur more than once can leave repeated rows.
-    once = chosen.where("_n = 1").drop("_n", "_root")
-    return once.unionByName(chosen.where("_n > 1").dropDuplicates(["_root"]).drop("_n", "_root"))
+    once = chosen.where("_n = 1").select("row.*")
+    return once.unionByName(chosen.where("_n > 1").dropDuplicates(["root"]).select("row.*"))

@@ -30,6 +30,11 @@ def with_struct(docs: DataFrame, id_column: str, result: Column, schema: T.Struc
     return computed.select(id_column, *[F.col(f"_result.{f.name}").alias(f.name) for f in schema.fields])
 
 
+def as_row(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that further columns clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def global_rank(df: DataFrame, keys: list[str], order_hash: str, ties: list[str], out: str) -> DataFrame:
     """Rank from 0 within each key by a hex hash and the tie columns, without one task for a key.
 

@@ -32,12 +32,17 @@ def brute(text, items):
 
 
 def compare(spark, docs, items):
+    """Items sent to the tasks, and joined by shuffles, against brute force."""
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = rows(d.decontaminate(documents(spark, docs), bench))
     fields = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert sorted(((r["doc_id"], *(r[f] for f in fields)) for r in found), key=str) == sorted(
-        ((i, *brute(t, items)) for i, t in docs), key=str
-    )
+    want = sorted(((i, *brute(t, items)) for i, t in docs), key=str)
+    for item_bytes in (d.ITEM_BYTES, 0):
+        found = rows(d.decontaminate(documents(spark, docs), bench, item_bytes=item_bytes))
+        assert sorted(((r["doc_id"], *(r[f] for f in fields)) for r in found), key=str) == want
+        kept = rows(d.clean_documents(documents(spark, docs), bench, item_bytes))
+        assert sorted((str((r["doc_id"], r["text"])) for r in kept)) == sorted(
+            str((i, t)) for i, t in docs if not brute(t, items)[4]
+        )
     return found
 
 
@@ -60,6 +65,27 @@ def test_edges_of_a_window(spark):
     compare(spark, docs, [(5, item)])
 
 
+def test_one_repeated_word_and_an_item_in_every_document(spark):
+    """Places of a repeated word are kept by diagonal; nothing holds all their pairs."""
+    common = " ".join(f"c{n}" for n in range(15))
+    items = [(1, "w " * 60), (2, "w " * 13), (3, common), (4, "w " * 12), (5, "w x " * 30)]
+    docs = [(0, "w " * 20_000), (1, "x w " * 3000)] + [(10 + i, f"own{i} {common} tail{i}") for i in range(60)]
+    small = [(i, t if i > 1 else t[:800]) for i, t in docs]
+    compare(spark, small, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for item_bytes in (d.ITEM_BYTES, 0):
+        found = {r["doc_id"]: r for r in rows(d.decontaminate(documents(spark, docs), bench, item_bytes=item_bytes))}
+        assert (found[0]["n_words"], found[0]["n_hit"], found[0]["n_items"]) == (20_000, 20_000, 3)
+        assert (found[1]["n_words"], found[1]["n_hit"], found[1]["n_items"]) == (6000, 6000, 1)
+        assert all(found[10 + i]["n_hit"] == 15 for i in range(60))
+
+
+def test_small_benchmarks_shuffle_nothing(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    plan = d.decontaminate(documents(spark, ["a b c d"]), bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert rows(d.decontaminate(documents(spark, []), bench)) == []
