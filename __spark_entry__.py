@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -45,7 +46,7 @@ from requestmarts.plans.dashboard import (
 )
 from requestmarts.plans.pipeline import build_marts
 from requestmarts.schema import REQUEST_SCHEMA
-from requestmarts.sources import standin
+from requestmarts.sources import landing, standin
 from requestmarts.sources.checkpoints import checkpointed
 from requestmarts.sources.landing import (
     extract_admin_regions,
@@ -54,7 +55,7 @@ from requestmarts.sources.landing import (
     extract_requests,
     extract_subprefectures,
 )
-from requestmarts.sources.readers import DETAIL, read_mart
+from requestmarts.sources.readers import DETAIL, read_mart, read_neighbourhoods, read_requests, read_type_map
 
 try:  # The training-data operators can be left out of an installation.
     from requestmarts.llm import queries as corpus_queries
@@ -174,6 +175,57 @@ def _without_build_time(cards: dict[str, DataFrame]) -> DataFrame:
     return long_form({**cards, "kpis": cards["kpis"].drop("atualizado_em")})
 
 
+def _new_folder(t: Tables, name: str) -> str:
+    return f"{t.raw.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _sources(t: Tables) -> dict[str, DataFrame]:
+    """The five tables as a warehouse names their columns."""
+    return {
+        "chamado": t.raw.withColumnRenamed("prazo_atendimento", "data_alvo_finalizacao"),
+        "bairro": t.areas,
+        "regiao_administrativa": t.admin_regions,
+        "area_planejamento": t.planning_areas,
+        "subprefeitura": t.subprefectures,
+    }
+
+
+def _landing_plan(t: Tables) -> DataFrame:
+    """Reports of landing all tables, and of landing them again."""
+    out, spark = _new_folder(t, "landed"), t.raw.sparkSession
+    reports = [(run, *r) for run in (1, 2) for r in landing.land_all(_sources(t), out, standin.SINCE).collect()]
+    return spark.createDataFrame(reports, "run int, table string, rows long, skipped boolean")
+
+
+@lru_cache(maxsize=4)
+def _landed_in(spark: SparkSession, application: str, sf_dir: str) -> str:
+    t = _tables(spark, application, sf_dir)
+    out = _new_folder(t, "landed")
+    landing.land_all(_sources(t), out, standin.SINCE)
+    return out
+
+
+def _landed(t: Tables) -> str:
+    """Folder of the landed tables: made once for a session and folder."""
+    spark = t.raw.sparkSession
+    return _landed_in(spark, spark.sparkContext.applicationId, t.sf_dir)
+
+
+def _with_csv_department(t: Tables) -> DataFrame:
+    """Departments by a type map that was written as CSV and read as the seed is."""
+    out = _new_folder(t, "type_map")
+    seed = t.type_map.selectExpr("tipo", "secretaria", "'alta, \"média\"' as confianca", "cast(null as string) as notas")
+    seed.write.csv(out, header=True, escape='"')
+    return with_department(t.staged, read_type_map(t.raw.sparkSession, out))
+
+
+def _exported_csv(t: Tables) -> DataFrame:
+    """The written export, read back as text."""
+    out = _new_folder(t, "export")
+    listing.export_requests(t.detail, LISTED, out)
+    return t.raw.sparkSession.read.csv(out, header=True, escape='"')
+
+
 def _from_marts(t: Tables) -> DataFrame:
     """The dashboard as served: built, checked, published and read back."""
     _built(t)
@@ -217,6 +269,12 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "landing_admin_regions": lambda t: extract_admin_regions(t.admin_regions),
         "landing_planning_areas": lambda t: extract_planning_areas(t.planning_areas),
         "landing_subprefectures": lambda t: extract_subprefectures(t.subprefectures),
+        "landing_plan": _landing_plan,
+        "landed_requests": lambda t: stage_requests(
+            read_requests(t.raw.sparkSession, f"{_landed(t)}/chamado.parquet"), standin.SINCE
+        ),
+        "landed_neighbourhoods": lambda t: read_neighbourhoods(t.raw.sparkSession, f"{_landed(t)}/bairro.parquet"),
+        "type_map_csv": _with_csv_department,
         "staged_requests": lambda t: t.staged,
         "with_department": lambda t: with_department(t.staged, t.type_map),
         "geo_by_id": lambda t: geo_by_id(t.scoped, t.lookup),
@@ -233,6 +291,7 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "kpi_response": lambda t: marts.kpi_response(
             marts.kpis_filtered(measured(RequestFilter(q="__nenhum__").apply(t.detail)))
         ),
+        "kpi_response_filtered": lambda t: marts.kpi_response(marts.kpis_filtered(t.m_filtered)),
         "dashboard": lambda t: long_form(cards_from_rollup(rollup(t.m))),
         "dashboard_department": lambda t: _served(t, RequestFilter(secretaria="SMS")),
         "dashboard_cube_days": lambda t: _served(t, DAYS),
@@ -249,6 +308,7 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "list_page_beyond": lambda t: listing.list_page(t.detail, LISTED, FAR_PAGE, 100, "status"),
         "page_info": lambda t: listing.page_info(t.detail, LISTED, FAR_PAGE),
         "export": lambda t: listing.export_rows(t.detail, LISTED),
+        "export_csv": _exported_csv,
         "distinct_values": lambda t: listing.distinct_values(t.detail, "tipo", LISTED),
         "filter_options": lambda t: listing.filter_options(t.detail, LISTED),
         "region_pivot": lambda t: shaping.department_pivot(marts.volume_by_department(t.m, REGION), "regiao"),

@@ -391,6 +391,24 @@ def oracle_sql() -> dict[str, str]:
         "r_regionkey as id_area_planejamento_numerico, 'POLYGON EMPTY' as geometry_wkt from region",
         "landing_subprefectures": "select r_name as subprefeitura, cast(r_regionkey as double) / 2 as area, "
         "cast(r_regionkey as double) * 2 as perimetro, 'POLYGON EMPTY' as geometry_wkt from region",
+        "landing_plan": _over(
+            "select run, t as \"table\", case when run = 1 then n end as rows, run = 2 as skipped from ("
+            "select 'chamado' as t, count(*) as n from stg union all select 'bairro', count(*) from nation "
+            "union all select 'regiao_administrativa', count(*) from nation union all select 'area_planejamento', count(*) from region "
+            "union all select 'subprefeitura', count(*) from region), (values (1), (2)) as runs(run)"
+        ),
+        "landed_requests": _over(f"select {', '.join(STAGED_COLUMNS)} from stg"),
+        "landed_neighbourhoods": f"with {BASE} {_FLAGS.format(where='true')} select id_bairro, n_name as nome, subprefeitura, "
+        "regiao_administrativa as nome_regiao_administrativa, area_planejamento as nome_regiao_planejamento, geometry_wkt "
+        "from bairro join nation on cast(n_nationkey as varchar) = id_bairro",
+        "type_map_csv": _over(
+            f"select {', '.join('stg.' + c for c in STAGED_COLUMNS)}, coalesce(secretaria, 'Outros') as secretaria "
+            "from stg left join mapa on stg.tipo = mapa.tipo"
+        ),
+        "export_csv": _over(EXPORT, LIST_WHERE),
+        "kpi_response_filtered": _over(
+            f"select * replace (coalesce(taxa_resolucao_prazo, 0.0) as taxa_resolucao_prazo) from ({kpis(False)})", COMMON_WHERE
+        ),
         "staged_requests": _over(f"select {', '.join(STAGED_COLUMNS)} from stg"),
         "with_department": _over(
             f"select {', '.join('stg.' + c for c in STAGED_COLUMNS)}, coalesce(secretaria, 'Outros') as secretaria "

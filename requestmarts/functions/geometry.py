@@ -59,18 +59,71 @@ def edge_overlaps(x_lo: str, x_hi: str, y_lo: str, y_hi: str) -> str:
     )
 
 
+# Relative error of the orientation in doubles, below which its sign is certain: (3 + 16 u) u with u = 2^-53.
+_CERTAIN = "3.3306690738754716e-16D"
+# 2^27 + 1 splits a double into two halves whose products are exact.
+_SPLITTER = "134217729D"
+
+
+def exact_orientation(e: str, x: str, y: str) -> str:
+    """A double with the exact sign of the orientation of a point against edge ``e``.
+
+    The orientation is a sum of six products. Each is written as two doubles without error,
+    and the twelve are added to an expansion: doubles that do not overlap, in ascending
+    size, so the last one that is not zero has the sign of the sum.
+    """
+    pairs = (
+        (f"{e}.x1", f"{e}.y2"), (f"{e}.x2", f"-{e}.y1"), (f"{e}.x2", y),
+        (f"-({x})", f"{e}.y2"), (x, f"{e}.y1"), (f"-{e}.x1", y),
+    )
+    factors = ", ".join(f"named_struct('a', {a}, 'b', {b})" for a, b in pairs)
+    halves = (
+        f"transform(array({factors}), t -> named_struct('a', t.a, 'b', t.b, 'p', t.a * t.b, "
+        f"'a1', {_SPLITTER} * t.a - ({_SPLITTER} * t.a - t.a), 'b1', {_SPLITTER} * t.b - ({_SPLITTER} * t.b - t.b)))"
+    )
+    error = "(t.a - t.a1) * (t.b - t.b1) - (((t.p - t.a1 * t.b1) - (t.a - t.a1) * t.b1) - t.a1 * (t.b - t.b1))"
+    terms = f"flatten(transform({halves}, t -> array({error}, t.p)))"
+    # Sum and its rounding error, from the largest component so far and the next one.
+    lost = "(s.q - ((s.q + v) - ((s.q + v) - s.q))) + (v - ((s.q + v) - s.q))"
+    nothing = "cast(array() as array<double>)"
+    grown = (
+        f"aggregate(sum, named_struct('q', term, 'h', {nothing}), "
+        f"(s, v) -> named_struct('q', s.q + v, 'h', concat(s.h, array({lost}))), s -> concat(s.h, array(s.q)))"
+    )
+    expansion = f"aggregate({terms}, {nothing}, (sum, term) -> {grown})"
+    return f"aggregate({expansion}, 0D, (sign, v) -> if(v <> 0D, v, sign))"
+
+
+def orientation(e: str, x: str, y: str) -> str:
+    """On which side of edge ``e`` a point lies: the sign is exact, zero is on the edge's line.
+
+    Doubles decide wherever their rounding cannot change the sign; the few doubtful points
+    are decided without rounding.
+    """
+    sides = (
+        f"named_struct('l', ({e}.x2 - {e}.x1) * ({y} - {e}.y1), 'r', ({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
+    )
+    certain = f"abs(d.l - d.r) >= {_CERTAIN} * (abs(d.l) + abs(d.r))"
+    return (
+        f"get(transform(array({sides}), d -> case when {certain} then d.l - d.r "
+        f"else {exact_orientation(e, x, y)} end), 0)"
+    )
+
+
 def strictly_inside(edges: str, x: str, y: str) -> str:
     """Even-odd test with a ray to the right; on the boundary means outside.
 
-    The orientation of the point against an edge is zero on the edge's line, and
-    its sign tells left from right without dividing by the slope. A point on an
-    edge makes the crossing count negative whatever else its ray meets.
+    Edges the ray's line does not meet are passed over. The sign of the orientation tells
+    left from right without dividing by the slope. A point on an edge makes the crossing
+    count negative whatever else its ray meets.
     """
-    side = f"((e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1))"
+    level = f"least(e.y1, e.y2) <= {y} and greatest(e.y1, e.y2) >= {y}"
+    met = (
+        f"case when o = 0D and {edge_overlaps(x, x, y, y)} then -1000000000000L "
+        f"when (e.y1 > {y}) <> (e.y2 > {y}) and (o > 0D) = (e.y2 > e.y1) then 1L else 0L end"
+    )
     crossings = (
-        f"aggregate({edges}, 0L, (n, e) -> n + case "
-        f"when {side} = 0 and {edge_overlaps(x, x, y, y)} then -1000000000000L "
-        f"when (e.y1 > {y}) <> (e.y2 > {y}) and ({side} > 0) = (e.y2 > e.y1) then 1L "
-        "else 0L end)"
+        f"aggregate({edges}, 0L, (n, e) -> n + case when {level} "
+        f"then get(transform(array({orientation('e', x, y)}), o -> {met}), 0) else 0L end)"
     )
     return f"(greatest({crossings}, 0L) % 2 = 1)"

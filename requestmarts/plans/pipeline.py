@@ -24,6 +24,7 @@ from requestmarts.operators.territory import territory_lookup
 from requestmarts.plans import cubes, marts, rank_index
 from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS, in_one_task
 from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH
+from requestmarts.sources import pointers
 from requestmarts.sources.readers import DETAIL, build_name
 
 FRESHNESS = "freshness"
@@ -34,8 +35,10 @@ class ContractError(ValueError):
     """A build broke a declared check and was not published."""
 
 
-def _publish(spark: SparkSession, build: str, database: str | None) -> None:
-    """Move the one pointer that readers follow; they see one build or the other."""
+def _publish(spark: SparkSession, out: str, build: str, database: str | None) -> None:
+    """Move the pointer that readers follow; they see one build or the other. The view names
+    the same build for readers that go by database."""
+    pointers.publish(spark, out, build)
     quoted = ".".join(f"`{part}`" for part in build_name(database).split("."))
     folder = build.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"create or replace view {quoted} as select '{folder}' as folder")
@@ -127,5 +130,5 @@ def build_marts(
     if broken:
         found = ", ".join(f"{r.table}.{r.column} {r.check}: {r.failures}" for r in broken)
         raise ContractError(f"{build} is not published: {found}")
-    _publish(spark, build, database)
+    _publish(spark, out, build, database)
     return build

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from requestmarts.schema import STORED_DETAIL_SCHEMA, TYPE_MAP_SCHEMA
+from requestmarts.sources import pointers
 
 DETAIL = "chamados"
 
@@ -27,8 +28,11 @@ def build_name(database: str | None = None) -> str:
     return f"{database}.mart_build" if database else "mart_build"
 
 
-def current_build(spark: SparkSession, database: str | None = None) -> str | None:
-    """Folder of the published build: the one row of the pointer view."""
+def current_build(spark: SparkSession, database: str | None = None, folder: str | None = None) -> str | None:
+    """Folder of the published build: by the pointer files in the folder of the builds, which any
+    session can read, else by the one row of the pointer view."""
+    if folder is not None:
+        return pointers.current(spark, folder)
     name = build_name(database)
     return spark.table(name).first()["folder"] if spark.catalog.tableExists(name) else None
 

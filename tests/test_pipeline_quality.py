@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from requestmarts.plans.dashboard import REQUIRED_CARDS, as_served, collected, d
 from requestmarts.plans import listing
 from requestmarts.plans.pipeline import ContractError, _clustered, build_marts
 from requestmarts.schema import CARD_SCHEMAS, DETAIL_SCHEMA, OPENED_MONTH
-from requestmarts.sources import landing, readers, standin
+from requestmarts.sources import landing, pointers, readers, standin
 from tests import helpers as H
 
 
@@ -139,7 +141,7 @@ def test_a_build_that_breaks_the_contract_is_not_published(spark, sources, tmp_p
 
     raw = sources["chamado"].withColumnRenamed("data_alvo_finalizacao", "prazo_atendimento")
     good = build(raw)
-    assert readers.current_build(spark) == good
+    assert readers.current_build(spark) == good == readers.current_build(spark, folder=str(tmp_path / "marts"))
     twice = raw.unionByName(raw.where("status = 'Pendente'"))
     with pytest.raises(ValueError, match="repeat"):
         build(twice)
@@ -148,6 +150,22 @@ def test_a_build_that_breaks_the_contract_is_not_published(spark, sources, tmp_p
     with pytest.raises(ContractError, match="id_chamado not_null"):
         build(raw.withColumn("id_chamado", F.expr("nullif(id_chamado, '1')")), unique_ids=False)
     assert readers.current_build(spark) == good
+    spark.sql("drop view mart_build")
+    # A session without the view finds the build by its folder.
+    assert readers.current_build(spark) is None
+    assert readers.current_build(spark.newSession(), folder=str(tmp_path / "marts")) == good
+
+
+def test_pointers_are_versions_of_which_the_last_whole_one_counts(spark, tmp_path):
+    out = str(tmp_path / "builds")
+    assert pointers.current(spark, out) is None
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda i: pointers.publish(spark, out, f"{out}/build={i}"), range(8)))
+    assert sorted(versions) == list(range(1, 9))
+    assert pointers.current(spark, out) == f"{out}/build={versions.index(8)}"
+    (tmp_path / "builds" / pointers.FOLDER / f"{9:010d}").write_text('{"build": "/half/writ')
+    assert pointers.current(spark, out) == f"{out}/build={versions.index(8)}"
+    assert pointers.publish(spark, out, "next") == 10 and pointers.current(spark, out) == "next"
 
 
 def test_served_cards_hold_departments_in_scope_and_no_null_counts(spark):

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from requestmarts.functions.geometry import strictly_inside, wkt_edges
+from requestmarts.functions.geometry import exact_orientation, orientation, strictly_inside, wkt_edges
 from requestmarts.operators import territory as T
+from requestmarts.operators.lookups import heavy_keys, split_join
 from tests import helpers as H
 
 HOLED = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"
@@ -91,6 +93,45 @@ def test_random_points_match_brute_force(spark):
     everywhere(requests, lookup, T.territory_lookup(areas, max_broadcast_bytes=0))
 
 
+def test_points_within_rounding_of_an_edge(spark):
+    """Points on, and a few units in the last place beside, slanted edges, against rational arithmetic."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(600):
+        ax, ay, bx, by = (rng.uniform(-44, -22) for _ in range(4))
+        at = rng.random()
+        x, y = ax + at * (bx - ax), ay + at * (by - ay)
+        for _ in range(rng.randint(0, 3)):
+            x = math.nextafter(x, rng.choice([-1e9, 1e9]))
+            y = math.nextafter(y, rng.choice([-1e9, 1e9]))
+        rows.append((ax, ay, bx, by, x, y))
+    rows += [(0.0, 0.0, 3.0, 1.0, 1.5, 0.5), (0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (1e-8, 1e-8, 1e8, 1e8, 12.0, 12.0)]
+    sign = lambda v: (v > 0) - (v < 0)
+
+    def exact(ax, ay, bx, by, x, y):
+        ax, ay, bx, by, x, y = map(Fraction, (ax, ay, bx, by, x, y))
+        return sign((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+
+    want = [exact(*r) for r in rows]
+    rounded = [sign((bx - ax) * (y - ay) - (by - ay) * (x - ax)) for ax, ay, bx, by, x, y in rows]
+    assert sum(a != b for a, b in zip(want, rounded, strict=True)) > 5  # plain doubles are wrong here
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x1 double, y1 double, x2 double, y2 double, x double, y double")
+    edge = df.selectExpr("i", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) as e", "x", "y")
+    for sql in (orientation("e", "x", "y"), exact_orientation("e", "x", "y")):
+        got = {r[0]: sign(r[1]) for r in edge.select("i", F.expr(sql)).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_heavy_keys_are_split_and_other_rows_move_once(spark):
+    facts = spark.createDataFrame([(str(i), "hot" if i % 3 else f"k{i % 7}" if i % 2 else None) for i in range(600)], "id_chamado string, k string")
+    dim = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k3", 4), (None, 5)], "k string, v int")
+    assert [(r["k"], r["_parts"]) for r in heavy_keys(facts, ["k"], 50).collect()] == [("hot", 8)]
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        plain = H.rows_of(facts.join(dim, ["k"], how))
+        for heavy_rows in (50, 10**6):
+            assert H.rows_of(split_join(facts, dim, ["k"], how, "id_chamado", heavy_rows)) == plain
+
+
 def test_overlap_takes_the_smallest_subprefecture(spark):
     square = "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"
     small, large = lookups(spark, [("1", "Z", square), ("2", "B", square), ("3", None, square), ("0", "B", square)])
