@@ -59,7 +59,7 @@ from requestmarts.sources.readers import DETAIL, read_mart, read_neighbourhoods,
 
 try:  # The training-data operators can be left out of an installation.
     from requestmarts.llm import queries as corpus_queries
-except ModuleNotFoundError as missing:
+except ImportError as missing:
     # Left out are the operators or the pipeline over them; anything else is a fault to be seen.
     if missing.name not in ("requestmarts.llm", "corpus_pipeline"):
         raise
