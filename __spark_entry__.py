@@ -32,7 +32,7 @@ from requestmarts.operators.territory import (
     territory_lookup,
     unify_geo,
 )
-from requestmarts.plans import listing, marts, shaping
+from requestmarts.plans import listing, marts, search_index, shaping
 from requestmarts.plans.dashboard import (
     REGION,
     SUBPREFECTURE,
@@ -45,7 +45,7 @@ from requestmarts.plans.dashboard import (
     served_dashboard,
 )
 from requestmarts.plans.pipeline import build_marts
-from requestmarts.schema import REQUEST_SCHEMA
+from requestmarts.schema import OPENED_MONTH, REQUEST_SCHEMA
 from requestmarts.sources import landing, standin
 from requestmarts.sources.checkpoints import checkpointed
 from requestmarts.sources.landing import (
@@ -70,6 +70,8 @@ NARROW = RequestFilter(tipo="HOUSEHOLD-1", subtipo="1-URGENT", status="Fechado c
 LISTED = RequestFilter(secretaria="SMS", situacao="Encerrado")
 DAYS = RequestFilter(tipo="HOUSEHOLD-1", data_inicio_from="1997-06-10", data_inicio_to="2000-02-20")
 MONTHS = RequestFilter(data_inicio_from="1997-02-01", data_inicio_to="2000-02-29")
+SOLVED = RequestFilter(q=" _SOLUÇÃO", data_inicio_from="1997-06-10", data_inicio_to="2000-02-20")
+NUMBERED = RequestFilter(q="123", situacao="Encerrado")
 FAR_PAGE = 10**9
 
 
@@ -296,9 +298,12 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "dashboard_department": lambda t: _served(t, RequestFilter(secretaria="SMS")),
         "dashboard_cube_days": lambda t: _served(t, DAYS),
         "dashboard_served_search": lambda t: _served(t, COMMON),
+        "dashboard_search_cube": lambda t: _served(t, SOLVED),
         "dashboard_from_marts": _from_marts,
         "dashboard_filtered": lambda t: long_form(dashboard(t.detail, COMMON, as_of=standin.AS_OF)),
         "search_text": lambda t: RequestFilter(q=" SOLUÇÃO ").apply(t.detail),
+        "search_stored": lambda t: search_index.served_rows(t.raw.sparkSession, _build(t), SOLVED).drop(OPENED_MONTH),
+        "search_stored_ids": lambda t: search_index.served_rows(t.raw.sparkSession, _build(t), NUMBERED).drop(OPENED_MONTH),
         "list_page": lambda t: listing.list_page(t.detail, RequestFilter()),
         "list_page_sorted": lambda t: listing.list_page(t.detail, LISTED, 3, 50, "data_fim", "asc"),
         "list_page_middle": lambda t: _served_page(t, RequestFilter(), 31, 100),
@@ -311,6 +316,9 @@ def _queries() -> dict[str, Callable[[Tables], DataFrame]]:
         "export_csv": _exported_csv,
         "distinct_values": lambda t: listing.distinct_values(t.detail, "tipo", LISTED),
         "filter_options": lambda t: listing.filter_options(t.detail, LISTED),
+        "filter_options_stored": lambda t: listing.served_options(t.raw.sparkSession, DAYS, build=_build(t)),
+        "filter_options_search": lambda t: listing.served_options(t.raw.sparkSession, NUMBERED, build=_build(t)),
+        "distinct_values_stored": lambda t: listing.served_values(t.raw.sparkSession, "subtipo", SOLVED, build=_build(t)),
         "region_pivot": lambda t: shaping.department_pivot(marts.volume_by_department(t.m, REGION), "regiao"),
         "subprefecture_pivot": lambda t: shaping.department_pivot(
             marts.volume_by_department(t.m, SUBPREFECTURE), SUBPREFECTURE

@@ -119,6 +119,15 @@ COMMON_WHERE = (
     + ")"
 )
 LIST_WHERE = "secretaria = 'SMS' and situacao = 'Encerrado'"
+DAYS_WHERE = "tipo = 'HOUSEHOLD-1' and cast(data_inicio as date) between date '1997-06-10' and date '2000-02-20'"
+
+
+def _searched(pattern: str) -> str:
+    return f"concat_ws('|', id_chamado, tipo, subtipo, secretaria, status, situacao) ilike '%{pattern}%'"
+
+
+SOLVED_WHERE = f"{_searched('_solução')} and cast(data_inicio as date) between date '1997-06-10' and date '2000-02-20'"
+NUMBERED_WHERE = f"{_searched('123')} and situacao = 'Encerrado'"
 
 RATE = (
     "round(cast(100.0 * count(*) filter (where resolvido_no_prazo)"
@@ -438,9 +447,12 @@ def oracle_sql() -> dict[str, str]:
             "tipo = 'HOUSEHOLD-1' and cast(data_inicio as date) between date '1997-06-10' and date '2000-02-20'",
         ),
         "dashboard_served_search": _over(dashboard(), COMMON_WHERE),
+        "dashboard_search_cube": _over(dashboard(), SOLVED_WHERE),
         "dashboard_from_marts": _over(dashboard()),
         "dashboard_filtered": _over(dashboard(), COMMON_WHERE),
         "search_text": _over(f"select {fact} from m", "concat_ws('|', id_chamado, tipo, subtipo, secretaria, status, situacao) ilike '%solução%'"),
+        "search_stored": _over(f"select {fact} from m", SOLVED_WHERE),
+        "search_stored_ids": _over(f"select {fact} from m", NUMBERED_WHERE),
         "list_page": _over(page(1, 20, "data_inicio desc nulls last, id_chamado desc")),
         "list_page_sorted": _over(page(3, 50, "data_fim asc nulls last, id_chamado asc"), LIST_WHERE),
         "list_page_middle": _over(page(31, 100, "data_inicio desc nulls last, id_chamado desc")),
@@ -455,6 +467,9 @@ def oracle_sql() -> dict[str, str]:
         "export": _over(EXPORT, LIST_WHERE),
         "distinct_values": _over("select distinct tipo as value from m where tipo is not null", LIST_WHERE),
         "filter_options": _over(FILTER_OPTIONS, LIST_WHERE),
+        "filter_options_stored": _over(FILTER_OPTIONS, DAYS_WHERE),
+        "filter_options_search": _over(FILTER_OPTIONS, NUMBERED_WHERE),
+        "distinct_values_stored": _over("select distinct subtipo as value from m where subtipo is not null", SOLVED_WHERE),
         "region_pivot": _over(pivot(region)),
         "subprefecture_pivot": _over(pivot(sub)),
         "worst_prazo_points": _over(worst(region)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -21,9 +22,9 @@ from requestmarts.schema import (
 )
 
 
-def search(text: str) -> Column:
+def search(text: str, columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
     """The trimmed text occurs in any of the searched columns."""
-    return reduce(or_, (S.contains_text(F.col(c), text.strip()) for c in SEARCH_COLUMNS))
+    return reduce(or_, (S.contains_text(F.col(c), text.strip()) for c in columns))
 
 
 def sort_column(name: str | None) -> str:

@@ -5,7 +5,7 @@ columns, and the opening month. All are sums, so each smaller cube is summed fro
 largest one. A filter is answered from the smallest cube that holds its columns. Opening
 dates within a month are answered in two parts: whole months from the cube, the days of
 the first and last month from the fact, of which only those months are read. Free text is
-not in any cube.
+asked of the widest cube where no request id can hold it (``plans.search_index``).
 
 The age of open requests is stored as of the build; as every one of them ages a day a day,
 another date only adds to the sum.
@@ -17,10 +17,10 @@ import calendar
 import datetime as dt
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from requestmarts.operators.filters import RequestFilter
+from requestmarts.operators.filters import RequestFilter, search
 from requestmarts.operators.measures import COUNTERS, DIMENSIONS, TERRITORY_DIMENSIONS, VOLUME_DIMENSIONS, measured, rollup
 from requestmarts.schema import DEPARTMENTS, FILTER_COLUMNS
 
@@ -121,8 +121,18 @@ def match(spark: SparkSession, build: str, filt: RequestFilter) -> Answer | None
     if not fitting:
         return None
     best = min(fitting, key=lambda s: (s["rows"], s["name"]))
+    return _answer(best, filt)
+
+
+def answer_from(spark: SparkSession, build: str, filt: RequestFilter, name: str) -> Answer:
+    """The filter as a question to the named cube. A text is compared with the filter columns only."""
+    stored = spark.read.schema(CUBES_SCHEMA).parquet(f"{build}/{CUBES_TABLE}")
+    return _answer(stored.where(F.col("name") == name).first(), filt)
+
+
+def _answer(stored: Row, filt: RequestFilter) -> Answer:
     months, days = split_by_month(filt)
-    return Answer(best["name"], _day(best["as_of"]), months, days)
+    return Answer(stored["name"], _day(stored["as_of"]), months, days)
 
 
 def _of_months(filt: RequestFilter) -> Column:
@@ -135,6 +145,8 @@ def _of_months(filt: RequestFilter) -> Column:
         out = out & (F.col(MONTH) >= F.lit(_day(filt.data_inicio_from)))
     if filt.data_inicio_to:
         out = out & (F.col(MONTH) <= F.lit(_day(filt.data_inicio_to)))
+    if filt.q and filt.q.strip():
+        out = out & search(filt.q, FILTER_COLUMNS)
     return out
 
 

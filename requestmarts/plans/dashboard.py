@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter
 from requestmarts.operators.measures import measured, rollup, territory_cube, volume_cube
-from requestmarts.plans import cubes, marts
+from requestmarts.plans import cubes, marts, search_index
 from requestmarts.schema import CARD_SCHEMAS, DEPARTMENTS
 from requestmarts.sources.checkpoints import checkpointed
 from requestmarts.sources.readers import DETAIL, current_build, read_mart, read_mart_or_empty
@@ -123,14 +123,14 @@ def served_dashboard(
     database: str | None = None,
 ) -> Cards:
     """All cards of a build: its marts, else the smallest of its cubes that holds the filter's
-    columns, else (free text) its detail fact."""
+    columns, else (text that a request id may hold) the months of its detail fact that can match."""
     build = build or current_build(spark, database)
     if not filt.active:
         return cards_from_marts(spark, build=build)
     detail = read_mart(spark, DETAIL, build)
-    answer = cubes.match(spark, build, filt)
+    answer = cubes.match(spark, build, filt) or search_index.cube_answer(spark, build, filt)
     if answer is None:
-        return cards_from_rollup(rollup(measured(filt.apply(detail), as_of)))
+        return cards_from_rollup(rollup(measured(search_index.served_rows(spark, build, filt), as_of)))
     return cards_from_rollup(cubes.rolled_up(spark, build, answer, detail, as_of))
 
 

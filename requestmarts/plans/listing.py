@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, sort_column
 from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, sample, splits_of
-from requestmarts.plans import rank_index
+from requestmarts.plans import rank_index, search_index
 from requestmarts.schema import FILTER_COLUMNS, LIST_COLUMNS
 from requestmarts.sources.readers import DETAIL, current_build, read_mart
 
@@ -142,12 +142,14 @@ def served_page(
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One page of a build's list. Without a filter, or over whole months, its rank index tells
-    where the page is, and only the ranges that hold it are read, from the months they are in."""
+    where the page is, and only the ranges that hold it are read, from the months they are in.
+    A text search reads only months that can hold the text."""
     _check_paging(page, page_size, sort_order)
     build = build or current_build(spark, database)
     detail = read_mart(spark, DETAIL, build)
     if page == 1 or not rank_index.whole_months(filt):
-        return list_page(detail, filt, page, page_size, sort_by, sort_order, direct_rows)
+        rows = search_index.served_rows(spark, build, filt)
+        return list_page(rows, filt, page, page_size, sort_by, sort_order, direct_rows)
     found = rank_index.locate(spark, build, filt, sort_column(sort_by), sort_order == "desc", page, page_size)
     rows = filt.apply(detail)
     if found is None:
@@ -169,7 +171,29 @@ def filter_options(detail: DataFrame, filt: RequestFilter) -> DataFrame:
 
     Distinct combinations come first: one hash lookup per request instead of five.
     """
-    combinations = filt.apply(detail).select(*FILTER_COLUMNS).distinct()
+    return _options(filt.apply(detail).select(*FILTER_COLUMNS).distinct())
+
+
+def served_options(
+    spark: SparkSession, filt: RequestFilter, *, build: str | None = None, database: str | None = None
+) -> DataFrame:
+    """The filter options of a build, read from its dictionary."""
+    build = build or current_build(spark, database)
+    return _options(search_index.served_combinations(spark, build, filt))
+
+
+def served_values(
+    spark: SparkSession, column: str, filt: RequestFilter, *, build: str | None = None, database: str | None = None
+) -> DataFrame:
+    """``distinct_values`` of a build, read from its dictionary."""
+    if column not in FILTER_COLUMNS:
+        return spark.createDataFrame([], "value string")
+    found = search_index.served_combinations(spark, build or current_build(spark, database), filt)
+    values = found.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    return values.distinct().orderBy("value")
+
+
+def _options(combinations: DataFrame) -> DataFrame:
     values = F.array(
         *(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in FILTER_COLUMNS)
     )

@@ -21,7 +21,7 @@ from requestmarts.operators.lookups import MAX_BROADCAST_BYTES
 from requestmarts.operators.measures import territory_cube, volume_cube
 from requestmarts.operators.quality import run_contract
 from requestmarts.operators.territory import territory_lookup
-from requestmarts.plans import cubes, marts, rank_index
+from requestmarts.plans import cubes, marts, rank_index, search_index
 from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS, in_one_task
 from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH
 from requestmarts.sources import pointers
@@ -73,7 +73,8 @@ def build_marts(
 
     The detail fact is enriched map-side and written by opening month. The widest cube
     is one scan of it; the roll-up and the other cubes are summed from that, and every
-    mart from the roll-up. The rank index is two more scans. Each build has its own
+    mart from the roll-up. The rank index is two more scans, and the dictionary and the
+    pieces of ids for searches one each. Each build has its own
     folder under ``out``. The declared checks run on the written tables; the
     pointer moves to the build only if all of them pass.
     """
@@ -110,6 +111,8 @@ def build_marts(
     tables[FRESHNESS] = marts.freshness(volume, built_at)
     jobs = {table: partial(save, df.coalesce(1), table) for table, df in tables.items()}
     jobs |= {name: partial(save, cubes.summed(widest, extra), name) for name, extra in cubes.CUBES.items() if name != cubes.WIDEST}
+    jobs[search_index.DICTIONARY] = partial(save, search_index.dictionary(detail), search_index.DICTIONARY)
+    jobs[search_index.ID_PIECES] = partial(save, search_index.id_pieces(detail), search_index.ID_PIECES)
     jobs[rank_index.RANK_COUNTS] = partial(_save_rank_index, save, detail)
     with ThreadPoolExecutor(_WRITERS) as pool:
         # The longest first.

@@ -73,12 +73,13 @@ class Found:
     predicate: Column
 
 
-def _in_months(months: set[dt.date | None]) -> Column:
+def in_months(months: set[dt.date | None]) -> Column:
+    """Rows of the given opening months, None being the rows without one."""
     named = sorted(m for m in months if m is not None)
     parts = [F.col(OPENED_MONTH).isin(named)] if named else []
     if None in months:
         parts.append(F.col(OPENED_MONTH).isNull())
-    return reduce(or_, parts)
+    return reduce(or_, parts, F.lit(False))
 
 
 def locate(
@@ -118,4 +119,4 @@ def locate(
     # Neighbours in the list are neighbours among the ranges, but for the step to the NULLs.
     runs = [[p for p in chosen if p < nulls], [p for p in chosen if p >= nulls]]
     inside = reduce(or_, (splits.between(min(r), max(r)) for r in runs if r))
-    return Found(total, offset - before[first], size, before[last + 1] - before[first], _in_months(months) & inside)
+    return Found(total, offset - before[first], size, before[last + 1] - before[first], in_months(months) & inside)
