@@ -449,6 +449,9 @@ def oracle_sql() -> dict[str, str]:
         "dashboard_served_search": _over(dashboard(), COMMON_WHERE),
         "dashboard_search_cube": _over(dashboard(), SOLVED_WHERE),
         "dashboard_from_marts": _over(dashboard()),
+        "dashboard_refreshed": _over(dashboard()),
+        "detail_refreshed": _over(f"select {fact} from detail"),
+        "list_page_refreshed": _over(page(31, 100, "data_inicio desc nulls last, id_chamado desc")),
         "dashboard_filtered": _over(dashboard(), COMMON_WHERE),
         "search_text": _over(f"select {fact} from m", "concat_ws('|', id_chamado, tipo, subtipo, secretaria, status, situacao) ilike '%solução%'"),
         "search_stored": _over(f"select {fact} from m", SOLVED_WHERE),

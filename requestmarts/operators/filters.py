@@ -27,6 +27,13 @@ def search(text: str, columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
     return reduce(or_, (S.contains_text(F.col(c), text.strip()) for c in columns))
 
 
+def in_months(months: set[dt.date | None], column: str = OPENED_MONTH) -> Column:
+    """Rows of the given months, None being the rows without one. Never NULL."""
+    named = sorted(m for m in months if m is not None)
+    inside = F.coalesce(F.col(column).isin(named), F.lit(False)) if named else F.lit(False)
+    return inside | F.col(column).isNull() if None in months else inside
+
+
 def sort_column(name: str | None) -> str:
     return name if name in SORTABLE_COLUMNS else DEFAULT_SORT
 

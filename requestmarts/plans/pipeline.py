@@ -17,15 +17,17 @@ from requestmarts.operators.enrich import (
     stage_neighbourhoods,
     stage_requests,
 )
-from requestmarts.operators.lookups import MAX_BROADCAST_BYTES
+from requestmarts.operators.filters import in_months
+from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, lookup_join, measured_bytes
 from requestmarts.operators.measures import territory_cube, volume_cube
 from requestmarts.operators.quality import run_contract
 from requestmarts.operators.territory import territory_lookup
 from requestmarts.plans import cubes, marts, rank_index, search_index
 from requestmarts.plans.dashboard import TERRITORY_CARDS, VOLUME_CARDS, in_one_task
-from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH
+from requestmarts.schema import DEFAULT_SINCE, OPENED_MONTH, SORTABLE_COLUMNS
 from requestmarts.sources import pointers
-from requestmarts.sources.readers import DETAIL, build_name
+from requestmarts.sources.checkpoints import checkpointed
+from requestmarts.sources.readers import DETAIL, MONTHS_SCHEMA, MONTHS_TABLE, build_name, months_kept, read_mart
 
 FRESHNESS = "freshness"
 _WRITERS = 4
@@ -50,7 +52,28 @@ def _clustered(detail: DataFrame) -> DataFrame:
     return monthly.hint("rebalance", OPENED_MONTH)
 
 
-def _save_rank_index(save: Callable[[DataFrame, str], DataFrame], detail: DataFrame) -> DataFrame:
+Save = Callable[..., DataFrame]
+
+
+def _saver(spark: SparkSession, build: str) -> Save:
+    def save(df: DataFrame, table: str, by: tuple[str, ...] = ()) -> DataFrame:
+        path = f"{build}/{table}"
+        df.write.mode("errorifexists").partitionBy(*by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+def _stamps(spark: SparkSession, as_of: dt.date | str | None, built_at: dt.datetime | str | None) -> tuple:
+    now = spark.sql("select localtimestamp() as l, current_date() as d").first()
+    return as_of or now["d"], built_at or now["l"]
+
+
+def _new_build(out: str) -> str:
+    return f"{out.rstrip('/')}/build={uuid.uuid4().hex}"
+
+
+def _save_rank_index(save: Save, detail: DataFrame) -> DataFrame:
     splits, counts = rank_index.rank_index(detail)
     save(splits.coalesce(1), rank_index.RANK_SPLITS)
     return save(counts.coalesce(1), rank_index.RANK_COUNTS)
@@ -79,17 +102,10 @@ def build_marts(
     pointer moves to the build only if all of them pass.
     """
     spark = requests.sparkSession
-    now = spark.sql("select localtimestamp() as l, current_date() as d").first()
-    as_of, built_at = as_of or now["d"], built_at or now["l"]
-    build = f"{out.rstrip('/')}/build={uuid.uuid4().hex}"
-
-    def save(df: DataFrame, table: str, by: tuple[str, ...] = ()) -> DataFrame:
-        path = f"{build}/{table}"
-        df.write.mode("errorifexists").partitionBy(*by).parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    as_of, built_at = _stamps(spark, as_of, built_at)
+    build = _new_build(out)
+    save = _saver(spark, build)
     staged = stage_requests(requests, start)
-
     lookup = territory_lookup(stage_neighbourhoods(areas), max_broadcast_bytes)
     enriched = enrich(
         staged,
@@ -100,6 +116,100 @@ def build_marts(
     )
     detail = save(_clustered(mart_requests(enriched)), DETAIL, (OPENED_MONTH,))
     widest = save(cubes.largest(detail, as_of), cubes.WIDEST)
+    indexes = {
+        search_index.DICTIONARY: partial(save, search_index.dictionary(detail), search_index.DICTIONARY),
+        search_index.ID_PIECES: partial(save, search_index.id_pieces(detail), search_index.ID_PIECES),
+        rank_index.RANK_COUNTS: partial(_save_rank_index, save, detail),
+    }
+    _finish(spark, save, build, staged, detail, widest, indexes, as_of, built_at)
+    _publish(spark, out, build, database)
+    return build
+
+
+def refresh_marts(
+    changed: DataFrame,
+    type_map: DataFrame,
+    areas: DataFrame,
+    out: str,
+    *,
+    base: str | None = None,
+    start: dt.date | str = DEFAULT_SINCE,
+    as_of: dt.date | str | None = None,
+    built_at: dt.datetime | str | None = None,
+    database: str | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> str:
+    """A new build from the last one, or from ``base``, and the raw requests that are new or corrected.
+
+    Only opening months that gain or lose a request are written; the others stay where they
+    are, and the new build names the folders to read them from (so old builds that it names
+    must be kept). Everything else is additive by month: cubes, dictionary, pieces of ids and
+    rank counts keep their unchanged months and are summed with the changed ones, and the
+    roll-up and marts are summed from the widest cube. A corrected request leaves the month it
+    was in, or the fact if it is out of scope now. Ids of ``changed`` must not repeat. The rank
+    index keeps its ranges; a full build cuts them anew. Other types or areas need a full build.
+    """
+    spark = changed.sparkSession
+    base = base or pointers.current(spark, out)
+    if base is None:
+        raise LookupError(f"no build is published in {out}")
+    as_of, built_at = _stamps(spark, as_of, built_at)
+    build = _new_build(out)
+    save = _saver(spark, build)
+
+    staged = checkpointed(stage_requests(changed, start))
+    lookup = territory_lookup(stage_neighbourhoods(areas), max_broadcast_bytes)
+    fresh = mart_requests(enrich(staged, type_map, lookup, max_broadcast_bytes=max_broadcast_bytes))
+    fresh = checkpointed(fresh.withColumn(OPENED_MONTH, F.trunc("data_inicio", "month")))
+    # Every changed id leaves the fact, also one that is not staged any more.
+    ids = changed.where("id_chamado is not null").select("id_chamado").distinct()
+    small = measured_bytes(ids) <= max_broadcast_bytes
+    before = read_mart(spark, DETAIL, base)
+    old = lookup_join(before.select("id_chamado", OPENED_MONTH), ids, ["id_chamado"], "left_semi", small=small)
+    months = {r[0] for r in old.select(OPENED_MONTH).union(fresh.select(OPENED_MONTH)).distinct().collect()}  # one row a month
+
+    others = lookup_join(before.where(in_months(months)), ids, ["id_chamado"], "left_anti", small=small)
+    rows = others.select(fresh.columns).unionByName(fresh)
+    rewritten = save(rows.hint("rebalance", OPENED_MONTH), DETAIL, (OPENED_MONTH,))
+
+    widest = save(cubes.kept(spark, base, months, as_of).unionByName(cubes.largest(rewritten, as_of)), cubes.WIDEST)
+
+    def by_month(table: str, own: DataFrame) -> DataFrame:
+        unchanged = read_mart(spark, table, base).where(~in_months(months))
+        return save(unchanged.unionByName(own).coalesce(1) if table == rank_index.RANK_COUNTS else unchanged.unionByName(own), table)
+
+    splits = [rank_index.stored_splits(spark, base, c) for c in SORTABLE_COLUMNS]
+    save(read_mart(spark, rank_index.RANK_SPLITS, base).coalesce(1), rank_index.RANK_SPLITS)
+    made = {
+        search_index.DICTIONARY: search_index.dictionary(rewritten),
+        search_index.ID_PIECES: search_index.id_pieces(rewritten),
+        rank_index.RANK_COUNTS: rank_index.counted(rewritten, splits),
+    }
+    indexes = {table: partial(by_month, table, own) for table, own in made.items()}
+
+    here = {r[0] for r in rewritten.select(OPENED_MONTH).distinct().collect()}
+    kept = months_kept(spark, base)
+    if kept is None:
+        kept = {base: {r[0] for r in read_mart(spark, search_index.DICTIONARY, base).select(OPENED_MONTH).distinct().collect()}}
+    places = [(m, folder) for folder, own in kept.items() for m in own - months] + [(m, build) for m in here]
+    save(spark.createDataFrame(places, MONTHS_SCHEMA).coalesce(1), MONTHS_TABLE)
+    _finish(spark, save, build, staged, read_mart(spark, DETAIL, build), widest, indexes, as_of, built_at)
+    _publish(spark, out, build, database)
+    return build
+
+
+def _finish(
+    spark: SparkSession,
+    save: Save,
+    build: str,
+    staged: DataFrame,
+    detail: DataFrame,
+    widest: DataFrame,
+    indexes: dict[str, Callable[[], DataFrame]],
+    as_of: dt.date | str,
+    built_at: dt.datetime | str,
+) -> None:
+    """Roll-up, marts and smaller cubes from the widest cube, the indexes, and the declared checks."""
     rolled = save(cubes.summed(widest, ()), cubes.ROLLUP)
     # The marts are sums over the roll-up; a small one is read by one task each, without a shuffle.
     shared = in_one_task(rolled)
@@ -111,9 +221,7 @@ def build_marts(
     tables[FRESHNESS] = marts.freshness(volume, built_at)
     jobs = {table: partial(save, df.coalesce(1), table) for table, df in tables.items()}
     jobs |= {name: partial(save, cubes.summed(widest, extra), name) for name, extra in cubes.CUBES.items() if name != cubes.WIDEST}
-    jobs[search_index.DICTIONARY] = partial(save, search_index.dictionary(detail), search_index.DICTIONARY)
-    jobs[search_index.ID_PIECES] = partial(save, search_index.id_pieces(detail), search_index.ID_PIECES)
-    jobs[rank_index.RANK_COUNTS] = partial(_save_rank_index, save, detail)
+    jobs |= indexes
     with ThreadPoolExecutor(_WRITERS) as pool:
         # The longest first.
         running = {name: pool.submit(jobs[name]) for name in reversed(jobs)}
@@ -133,5 +241,3 @@ def build_marts(
     if broken:
         found = ", ".join(f"{r.table}.{r.column} {r.check}: {r.failures}" for r in broken)
         raise ContractError(f"{build} is not published: {found}")
-    _publish(spark, out, build, database)
-    return build

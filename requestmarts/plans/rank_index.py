@@ -13,6 +13,7 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
@@ -21,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from requestmarts.operators.filters import RequestFilter
+from requestmarts.operators.filters import RequestFilter, in_months
 from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, sample, splits_of
 from requestmarts.schema import FILTER_COLUMNS, OPENED_MONTH, SORTABLE_COLUMNS, STORED_DETAIL_SCHEMA
 
@@ -40,13 +41,26 @@ def rank_index(detail: DataFrame, most: int = SPLITS) -> tuple[DataFrame, DataFr
     sampled, _ = sample(scoped, SORTABLE_COLUMNS, most * SAMPLED_PER_SPLIT)
     splits = [splits_of(sampled, c, kinds[c], False, most, apart=True) for c in SORTABLE_COLUMNS]
     listed = [(s.column, i, *key) for s in splits for i, key in enumerate(s.keys)]
+    return detail.sparkSession.createDataFrame(listed, SPLITS_SCHEMA), counted(detail, splits)
+
+
+def counted(detail: DataFrame, splits: Sequence[Splits]) -> DataFrame:
+    """Rows of a stored detail fact by sort column, range and month."""
     each = F.array(*(F.struct(F.lit(s.column).alias("sort_column"), s.place().alias("place")) for s in splits))
-    counts = (
-        scoped.select(OPENED_MONTH, F.inline(each))
+    return (
+        RequestFilter()
+        .apply(detail)
+        .select(OPENED_MONTH, F.inline(each))
         .groupBy("sort_column", "place", OPENED_MONTH)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    return detail.sparkSession.createDataFrame(listed, SPLITS_SCHEMA), counts
+
+
+def stored_splits(spark: SparkSession, build: str, column: str) -> Splits:
+    """The splits of a sort column, in ascending order."""
+    kept = spark.read.parquet(f"{build}/{RANK_SPLITS}").where(F.col("sort_column") == column).orderBy("place").collect()
+    kinds = {f.name: f.dataType.simpleString() for f in STORED_DETAIL_SCHEMA}
+    return Splits(column, kinds[column], False, tuple((r["value"], r["id"]) for r in kept))
 
 
 def whole_months(filt: RequestFilter) -> bool:
@@ -73,15 +87,6 @@ class Found:
     predicate: Column
 
 
-def in_months(months: set[dt.date | None]) -> Column:
-    """Rows of the given opening months, None being the rows without one."""
-    named = sorted(m for m in months if m is not None)
-    parts = [F.col(OPENED_MONTH).isin(named)] if named else []
-    if None in months:
-        parts.append(F.col(OPENED_MONTH).isNull())
-    return reduce(or_, parts, F.lit(False))
-
-
 def locate(
     spark: SparkSession, build: str, filt: RequestFilter, column: str, descending: bool, page: int, page_size: int
 ) -> Found | None:
@@ -101,10 +106,8 @@ def locate(
     total = sum(n for n, _ in by_place.values())
     if not total:
         return None
-    kept = spark.read.parquet(f"{build}/{RANK_SPLITS}").where(F.col("sort_column") == column).orderBy("place").collect()
-    keys = tuple((r["value"], r["id"]) for r in kept)
-    kind = dict(zip(STORED_DETAIL_SCHEMA.fieldNames(), (f.dataType.simpleString() for f in STORED_DETAIL_SCHEMA), strict=True))[column]
-    splits = Splits(column, kind, False, keys)
+    splits = stored_splits(spark, build, column)
+    keys = splits.keys
     # Ranges in list order: descending lists are read backwards, but NULLs stay last.
     nulls = next(i for i, k in enumerate(keys) if k[0] is None) + 1
     places = list(range(len(keys) + 1))

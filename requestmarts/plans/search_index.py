@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.functions import semantics as S
-from requestmarts.operators.filters import RequestFilter, search
+from requestmarts.operators.filters import RequestFilter, in_months, search
 from requestmarts.operators.ranges import ID
 from requestmarts.plans import cubes
-from requestmarts.plans.rank_index import in_months
 from requestmarts.schema import FILTER_COLUMNS, OPENED_MONTH
 from requestmarts.sources.readers import DETAIL, read_mart
 

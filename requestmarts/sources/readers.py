@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from requestmarts.schema import STORED_DETAIL_SCHEMA, TYPE_MAP_SCHEMA
+from requestmarts.operators.filters import in_months
+from requestmarts.schema import OPENED_MONTH, STORED_DETAIL_SCHEMA, TYPE_MAP_SCHEMA
 from requestmarts.sources import pointers
 
 DETAIL = "chamados"
+# Where a refreshed build finds each month of its fact.
+MONTHS_TABLE = "chamados_months"
+MONTHS_SCHEMA = f"{OPENED_MONTH} date, folder string"
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +58,29 @@ def read_mart(spark: SparkSession, card: str, build: str | None = None, database
     if not _stored(spark, f"{build}/{card}"):
         raise LookupError(f"build {build} has no table {card}")
     # A detail fact without requests has no month directory, and so no file to tell its columns.
-    known = spark.read.schema(STORED_DETAIL_SCHEMA) if card == DETAIL else spark.read
-    return known.parquet(f"{build}/{card}")
+    if card == DETAIL:
+        return _detail(spark, build)
+    return spark.read.parquet(f"{build}/{card}")
+
+
+def months_kept(spark: SparkSession, build: str) -> dict[str, set[dt.date | None]] | None:
+    """Build folder -> opening months of the fact that are read from there; None if all are in this build."""
+    if not _stored(spark, f"{build}/{MONTHS_TABLE}"):
+        return None
+    kept: dict[str, set[dt.date | None]] = {}
+    for row in spark.read.schema(MONTHS_SCHEMA).parquet(f"{build}/{MONTHS_TABLE}").collect():  # one row a month
+        kept.setdefault(row["folder"], set()).add(row[OPENED_MONTH])
+    return kept
+
+
+def _detail(spark: SparkSession, build: str) -> DataFrame:
+    """The fact of a build; a refreshed one has its unchanged months in the builds that wrote them."""
+    files = lambda folder: spark.read.schema(STORED_DETAIL_SCHEMA).parquet(f"{folder}/{DETAIL}")
+    kept = months_kept(spark, build)
+    if kept is None:
+        return files(build)
+    parts = [files(folder).where(in_months(months)) for folder, months in sorted(kept.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else files(build)
 
 
 def read_mart_or_empty(

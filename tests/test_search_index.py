@@ -7,10 +7,9 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as entry
-from requestmarts.operators.filters import RequestFilter
+from requestmarts.operators.filters import RequestFilter, in_months
 from requestmarts.plans import listing, search_index
 from requestmarts.plans.dashboard import collected, dashboard, served_dashboard
-from requestmarts.plans.rank_index import in_months
 from requestmarts.schema import FILTER_COLUMNS, OPENED_MONTH
 from requestmarts.sources import readers, standin
 from tests import helpers as H
@@ -99,7 +98,7 @@ def test_a_search_reads_only_months_that_can_match(spark, build):
     detail = readers.read_mart(spark, readers.DETAIL, build)
     filt = RequestFilter(q="HOUSEHOLD-3", data_inicio_from="1999-12-20", data_inicio_to="2000-01-10")
     plan = search_index.served_rows(spark, build, filt)._jdf.queryExecution().executedPlan().toString()
-    assert f"PartitionFilters: [" in plan and OPENED_MONTH in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PartitionFilters: [" in plan and OPENED_MONTH in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert search_index.months_of_ids(spark, build, "HOUSEHOLD-3") == set()
     nothing = search_index.served_rows(spark, build, RequestFilter(q="no such words"))
     assert nothing.inputFiles() == [] and nothing.count() == 0
