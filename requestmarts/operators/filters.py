@@ -28,10 +28,17 @@ def search(text: str, columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
 
 
 def in_months(months: set[dt.date | None], column: str = OPENED_MONTH) -> Column:
-    """Rows of the given months, None being the rows without one. Never NULL."""
+    """Rows of the given months, None being the rows without one."""
     named = sorted(m for m in months if m is not None)
-    inside = F.coalesce(F.col(column).isin(named), F.lit(False)) if named else F.lit(False)
-    return inside | F.col(column).isNull() if None in months else inside
+    parts = [F.col(column).isin(named)] if named else []
+    if None in months:
+        parts.append(F.col(column).isNull())
+    return reduce(or_, parts) if parts else F.lit(False)
+
+
+def not_in_months(months: set[dt.date | None], column: str = OPENED_MONTH) -> Column:
+    """All other rows."""
+    return ~F.coalesce(in_months(months, column), F.lit(False))
 
 
 def sort_column(name: str | None) -> str:

@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from requestmarts.operators.filters import RequestFilter, in_months, search
+from requestmarts.operators.filters import RequestFilter, not_in_months, search
 from requestmarts.operators.measures import COUNTERS, DIMENSIONS, TERRITORY_DIMENSIONS, VOLUME_DIMENSIONS, measured, rollup
 from requestmarts.schema import DEPARTMENTS, FILTER_COLUMNS
 
@@ -135,7 +135,7 @@ def kept(spark: SparkSession, build: str, months: set[dt.date | None], as_of: dt
     before = spark.read.schema(CUBES_SCHEMA).parquet(f"{build}/{CUBES_TABLE}").where(F.col("name") == WIDEST).first()
     older = F.expr(f"age_sum + datediff(date'{as_of}', date'{before['as_of']}') * age_n").alias("age_sum")
     cube = spark.read.parquet(f"{build}/{WIDEST}")
-    return cube.where(~in_months(months, MONTH)).withColumn("age_sum", older)
+    return cube.where(not_in_months(months, MONTH)).withColumn("age_sum", older)
 
 
 def _answer(stored: Row, filt: RequestFilter) -> Answer:

@@ -17,7 +17,7 @@ from requestmarts.operators.enrich import (
     stage_neighbourhoods,
     stage_requests,
 )
-from requestmarts.operators.filters import in_months
+from requestmarts.operators.filters import in_months, not_in_months
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, lookup_join, measured_bytes
 from requestmarts.operators.measures import territory_cube, volume_cube
 from requestmarts.operators.quality import run_contract
@@ -175,7 +175,7 @@ def refresh_marts(
     widest = save(cubes.kept(spark, base, months, as_of).unionByName(cubes.largest(rewritten, as_of)), cubes.WIDEST)
 
     def by_month(table: str, own: DataFrame) -> DataFrame:
-        unchanged = read_mart(spark, table, base).where(~in_months(months))
+        unchanged = read_mart(spark, table, base).where(not_in_months(months))
         return save(unchanged.unionByName(own).coalesce(1) if table == rank_index.RANK_COUNTS else unchanged.unionByName(own), table)
 
     splits = [rank_index.stored_splits(spark, base, c) for c in SORTABLE_COLUMNS]
