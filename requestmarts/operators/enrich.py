@@ -99,7 +99,7 @@ def enrich(
     The scope filter runs before any territory work.
     """
     scoped = scoped_requests(staged, type_map, max_broadcast_bytes)
-    return resolve_territory(scoped, lookup, unique_ids=unique_ids)
+    return resolve_territory(scoped, lookup, unique_ids=unique_ids, max_broadcast_bytes=max_broadcast_bytes)
 
 
 def mart_requests(enriched: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from requestmarts.functions.geometry import bounds, edge_overlaps, strictly_inside, wkt_edges
 from requestmarts.operators.lookups import MAX_BROADCAST_BYTES, lookup_join, measured_bytes
+from requestmarts.operators.uniqueness import repeated_values
 from requestmarts.schema import TERRITORY_COLUMNS
 from requestmarts.sources.checkpoints import checkpointed
 
@@ -231,17 +232,6 @@ def _flagged_by_id(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     return lookup_join(requests, by_id, ["id_bairro"], "left", small=lookup.small)
 
 
-def repeated_ids(requests: DataFrame) -> DataFrame:
-    """Request ids that more than one row has. Only the ids are shuffled, summed map-side."""
-    return (
-        requests.where("id_chamado is not null")
-        .groupBy("id_chamado")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("id_chamado")
-    )
-
-
 def resolve_by_shuffle(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
     """Territory where the neighbourhoods are too many to broadcast: salted joins,
     and only the points' answers are joined back by the unique request id."""
@@ -295,25 +285,25 @@ def _resolve_unique(requests: DataFrame, lookup: TerritoryLookup) -> DataFrame:
 
 
 def resolve_territory(
-    requests: DataFrame, lookup: TerritoryLookup, *, unique_ids: bool = True
+    requests: DataFrame,
+    lookup: TerritoryLookup,
+    *,
+    unique_ids: bool = True,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Add the three territory columns.
 
     Territories belong to request ids: rows sharing an id share them, and rows
-    without an id have none. ``unique_ids`` requires that no id repeats; ids are
-    counted first and a repeated one raises. With False, repeated ids are resolved
+    without an id have none. ``unique_ids`` requires that no id repeats; they are
+    looked for first (``repeated_values``) and a repeated one raises. With False, repeated ids are resolved
     by id and all others row by row, which gives the same rows as if all were.
     """
-    repeated = repeated_ids(requests)
-    if unique_ids:
-        example = repeated.first()
-        if example is not None:
-            raise ValueError(f"request ids repeat, {example[0]!r} for one; resolve with unique_ids=False")
-        return _resolve_unique(requests, lookup)
-    size = measured_bytes(repeated)
-    if not size:
+    repeated = repeated_values(requests, "id_chamado", max_broadcast_bytes)
+    if repeated is None:
         return _resolve_unique(requests, lookup)
-    small = size <= MAX_BROADCAST_BYTES
+    if unique_ids:
+        raise ValueError(f"request ids repeat, {repeated.first()[0]!r} for one; resolve with unique_ids=False")
+    small = measured_bytes(repeated) <= max_broadcast_bytes
     shared = lookup_join(requests, repeated, ["id_chamado"], "left_semi", small=small)
     others = lookup_join(requests, repeated, ["id_chamado"], "left_anti", small=small)
     return _resolve_unique(others.select(requests.columns), lookup).unionByName(
