@@ -15,8 +15,10 @@ The patterns give the base spans. The field labels further tokens (``secret`` as
 Tokens inside base spans are clamped to their kind, values assigned to a cue by ``=`` or
 ``:`` to "secret"; both act as evidence, and an assigned value is a span itself. A token
 with the form of an assigned value has a feature for it and is linked to that value too,
-so evidence does not fade from repeat to repeat. An unclamped token becomes a span if one
-label's belief is at least ``BELIEF``.
+so evidence does not fade from repeat to repeat. What a token's own shape tells counts
+once for all linked occurrences: repeating a token is no evidence of a label. An unclamped token becomes a span if one
+label's belief is at least ``BELIEF``; neighbouring pieces of one phone or card number
+that are labelled alike become one span.
 
 Weights are learned from base spans and assigned secrets of a bounded sample
 (``SAMPLE`` documents with the smallest hash of their id): a softmax regression on
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +50,8 @@ ROUNDS = 8
 BELIEF = 0.8
 #: Least log preference for equal labels on linked occurrences.
 AGREE = 3.0
+#: Kinds written in pieces: digits of a piece that ends a number, and most digits of a number.
+PIECES = {"phone": (7, 15), "card": (14, 19)}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -135,11 +139,14 @@ class Nodes:
     features: np.ndarray  # nodes x features
     chain: np.ndarray  # edges between neighbouring tokens
     skip: np.ndarray  # edges between an occurrence of a form and the next, or the assigned value
+    shares: np.ndarray | None = None  # one over the occurrences of a node's form without evidence
 
 
 FEATURES = 20
 #: The feature of tokens with the form of a value that the document assigns elsewhere.
 REPEATS = 19
+#: Features of the place of a token; all others are of its shape, equal at each occurrence.
+PLACE = np.isin(np.arange(FEATURES), (16, 17, REPEATS))
 
 
 def token_features(text: str, start: int, end: int, repeats: bool = False) -> list[int]:
@@ -233,6 +240,7 @@ def nodes_of(text: str, base: list[Span], values: list[tuple[int, int]] | None =
     known = np.full(len(spans), -1, np.int64)
     features = np.zeros((len(spans), FEATURES), np.float32)
     chain, skip, last, at = [], [], {}, 0
+    linked_by, times = [], Counter()
     reach: list[Span] = []
     for i, (start, end) in enumerate(spans):
         while at < len(base) and base[at][0] < end:
@@ -253,6 +261,9 @@ def nodes_of(text: str, base: list[Span], values: list[tuple[int, int]] | None =
                 homes.setdefault(form, i)
         if not own and any(f in told for f in links):
             repeats.append((i, links))
+        linked_by.append(links)
+        if known[i] < 0:
+            times.update(links)
         features[i, token_features(text, start, end, bool(repeats) and repeats[-1][0] == i)] = 1
         if i and text[spans[i - 1][1] : start].strip(" \t\n\r\x0b\x0c") == "" and start - spans[i - 1][1] <= 2:
             chain.append((i - 1, i))
@@ -268,7 +279,8 @@ def nodes_of(text: str, base: list[Span], values: list[tuple[int, int]] | None =
             if (min(i, home), max(i, home)) not in linked:
                 skip.append((min(i, home), max(i, home)))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Nodes(spans, known, features, pairs(chain), pairs(skip))
+    shares = np.array([1 / max([1, *(times[f] for f in links)]) for links in linked_by])
+    return Nodes(spans, known, features, pairs(chain), pairs(skip), shares)
 
 
 @dataclass
@@ -285,7 +297,10 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def beliefs(field: Field, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:
     """Label probabilities of every node after loopy sum-product message passing."""
-    unary = nodes.features @ field.weights
+    unary = nodes.features[:, ~PLACE] @ field.weights[~PLACE]
+    if nodes.shares is not None:
+        unary *= nodes.shares[:, None]
+    unary += nodes.features[:, PLACE] @ field.weights[PLACE]
     clamped = nodes.known >= 0
     unary[clamped] = -50
     unary[clamped, nodes.known[clamped]] = 0
@@ -326,13 +341,39 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
         best = p.argmax(axis=1)
         chosen = (nodes.known < 0) & (best > 0) & (p.max(axis=1) >= BELIEF)
         told = {plain_form(text[a:b]) for a, b in values}
+        places = {}
         for i in np.flatnonzero(chosen):
             place = nodes.spans[i]
             cut = bare if told and plain_form(text[slice(*place)]) in told else trimmed
-            spans.append((*cut(text, *place), LABELS[best[i]]))
+            places[int(i)] = (*cut(text, *place), LABELS[best[i]])
+        spans += numbers_of_pieces(text, places, {int(b): int(a) for a, b in nodes.chain})
     return sorted(s for s in spans if s[0] < s[1])
 
 
+def numbers_of_pieces(text: str, places: dict[int, Span], before: dict[int, int]) -> list[Span]:
+    """Spans of labelled nodes, in their order, with neighbouring pieces of a number as one.
+
+    ``before`` has each node's neighbour on the chain. A piece goes on with the number of
+    that neighbour if both have the same label of ``PIECES``, the piece has no plus sign,
+    the number is not ended by a piece that is long enough, and the digits still fit.
+    """
+    out: list[Span] = []
+    last, digits, ended = -1, 0, False
+    for i, (start, end, kind) in places.items():
+        piece = text[start:end]
+        n = sum(c in "0123456789" for c in piece)
+        long, most = PIECES.get(kind, (0, 0))
+        goes_on = before.get(i, -2) == last and out[-1][2] == kind and not ended
+        if goes_on and 0 < n and digits + n <= most and piece[0] != "+":
+            out[-1] = (out[-1][0], end, kind)
+            digits += n
+        else:
+            out.append((start, end, kind))
+            digits = n
+        last, ended = i, n >= long
+    return out
+
+
 def within(values: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The values that stand in one of the tokens; both in their order."""
     out, i = [], 0
