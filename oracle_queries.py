@@ -480,6 +480,10 @@ def oracle_sql() -> dict[str, str]:
         "late_regions_with_units": _over(with_units(region, "regiao")),
         "late_subprefectures_with_units": _over(with_units(sub, sub)),
         "top_categories": _over(f"{BY_CATEGORY} order by total_chamados desc, categoria limit 10"),
+        "top_categories_cut": _over(
+            "select tipo as categoria, count(*) as total_chamados from m where tipo is not null group by tipo "
+            "order by total_chamados desc, categoria limit 10"
+        ),
         "sla_parts": _over(
             f"select parte, total from (unpivot ({SLA}) on no_prazo as 'No prazo', fora_prazo as 'Fora do prazo', "
             "fechado_sem_prazo as 'Fechado sem prazo', em_aberto as 'Em aberto' into name parte value total) where total > 0"
