@@ -1,7 +1,9 @@
 """Ranges of a sorted list: split keys from a sample, and the range each row is in.
 
 A key is (value, id) with NULLs last in either direction. A row's range is the number of
-splits it has reached, found by halving in built-in functions.
+splits it has reached, found by halving in built-in functions. Over many rows the halvings
+are projections one after another (``placed``), which Spark compiles; the loop in one
+expression (``Splits.place``) is interpreted for each row.
 """
 
 from __future__ import annotations
@@ -93,17 +95,57 @@ class Splits:
         return reduce(and_, parts, F.lit(True))
 
 
+def placed(rows: DataFrame, splits: Sequence[Splits], *kept: str) -> DataFrame:
+    """(kept columns, of, place): each row once for each of the splits, ``of`` being their number
+    from 0, with its range among them.
+
+    The same ranges as ``Splits.place``. All splits run in one direction. Their keys have one
+    shape, with a field for each kind of value, and come to the tasks as one broadcast row: as
+    literals they would be planned again in every halving.
+    """
+    if len({s.descending for s in splits}) != 1:
+        raise ValueError("splits of one direction are needed")
+    kinds = list(dict.fromkeys(s.kind for s in splits))
+    named = {kind: f"v{i}" for i, kind in enumerate(kinds)}
+    descending = splits[0].descending
+    flag = F.isnotnull if descending else F.isnull
+    none = (lambda x: x is not None) if descending else (lambda x: x is None)
+
+    def own(s: Splits) -> Column:
+        value, row_id = F.col(s.column), F.col(ID)
+        fields = ((value if kind == s.kind else F.lit(None).cast(kind)).alias(name) for kind, name in named.items())
+        return F.struct(flag(value).alias("n"), *fields, flag(row_id).alias("m"), row_id.alias("i"))
+
+    def key(s: Splits, v: str | None, i: str | None) -> dict:
+        return {"n": none(v), named[s.kind]: v == "true" if v and s.kind == "boolean" else v, "m": none(i), "i": i}
+
+    shape = ", ".join(["n: boolean", *(f"{name}: {kind}" for kind, name in named.items()), "m: boolean", "i: string"])
+    data = json.dumps([[key(s, *k) for k in s.keys] for s in splits])
+    keys = rows.sparkSession.createDataFrame([(data,)], "keys string")
+    keys = keys.select(F.from_json("keys", f"array<array<struct<{shape}>>>").alias("_keys"))
+    each = F.posexplode(F.array(*map(own, splits))).alias("of", "_own")
+    out = rows.select(*kept, each).crossJoin(F.broadcast(keys)).withColumn("place", F.lit(0))
+    for half in (1 << bit for bit in reversed(range(max(len(s.keys) for s in splits).bit_length()))):
+        # Past the last key there is none, and nothing is reached.
+        split = F.get(F.get("_keys", F.col("of")), F.col("place") + (half - 1))
+        reached = F.col("_own") <= split if descending else F.col("_own") >= split
+        out = out.withColumn("place", F.when(reached, F.col("place") + half).otherwise(F.col("place")))
+    return out.select(*kept, "of", "place")
+
+
 def sample(rows: DataFrame, columns: Sequence[str], most: int) -> tuple[list[dict], int]:
     """(sampled rows, number of all rows) in one scan: the rows of least hash, ``most`` of them.
 
-    Values come as text as well, to be sorted here and compared there.
+    Values come as text as well, to be sorted here and compared there. A row's hash is taken
+    once, not again in each comparison, and only what was picked is turned into text.
     """
     seen = Observation()
     others = [c for c in columns if c != ID]
-    picked = rows.observe(seen, F.count(F.lit(1)).alias("n")).select(
+    hashed = rows.observe(seen, F.count(F.lit(1)).alias("n")).select(ID, *others, F.xxhash64(ID, *others).alias("_hash"))
+    picked = hashed.orderBy("_hash").limit(most)
+    found = picked.select(
         ID, *others, F.col(ID).alias(_text(ID)), *(F.col(c).cast("string").alias(_text(c)) for c in others)
-    )
-    found = picked.orderBy(F.xxhash64(ID, *others)).limit(most).collect()
+    ).collect()
     return [r.asDict() for r in found], seen.get["n"]
 
 

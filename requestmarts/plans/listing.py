@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, sort_column
-from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, sample, splits_of
+from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, placed, sample, splits_of
 from requestmarts.plans import rank_index, search_index
 from requestmarts.schema import FILTER_COLUMNS, LIST_COLUMNS
 from requestmarts.sources.readers import DETAIL, current_build, read_mart
@@ -68,8 +68,8 @@ def _narrow(rows: DataFrame, splits: Splits, offset: int, size: int) -> tuple[Da
     One scan counts the ranges between the splits. Where the splits are decides how much
     is cut off, never what is shown.
     """
-    placed = rows.select(splits.place().alias("_place"))
-    counts = {r["_place"]: r["n"] for r in placed.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = placed(rows, [splits]).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["place"]: r["n"] for r in counted.collect()}
     before = list(accumulate((counts.get(i, 0) for i in range(len(splits.keys) + 1)), initial=0))
     first = bisect_right(before, offset) - 1
     last = bisect_left(before, offset + size) - 1

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from requestmarts.operators.filters import RequestFilter, in_months
-from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, sample, splits_of
+from requestmarts.operators.ranges import ID, SAMPLED_PER_SPLIT, SPLITS, Splits, placed, sample, splits_of
 from requestmarts.schema import FILTER_COLUMNS, OPENED_MONTH, SORTABLE_COLUMNS, STORED_DETAIL_SCHEMA
 
 RANK_SPLITS, RANK_COUNTS = "rank_splits", "rank_counts"
@@ -46,14 +46,10 @@ def rank_index(detail: DataFrame, most: int = SPLITS) -> tuple[DataFrame, DataFr
 
 def counted(detail: DataFrame, splits: Sequence[Splits]) -> DataFrame:
     """Rows of a stored detail fact by sort column, range and month."""
-    each = F.array(*(F.struct(F.lit(s.column).alias("sort_column"), s.place().alias("place")) for s in splits))
-    return (
-        RequestFilter()
-        .apply(detail)
-        .select(OPENED_MONTH, F.inline(each))
-        .groupBy("sort_column", "place", OPENED_MONTH)
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    places = placed(RequestFilter().apply(detail), splits, OPENED_MONTH)
+    rows = places.groupBy("of", "place", OPENED_MONTH).agg(F.count(F.lit(1)).alias("rows"))
+    named = F.get(F.array(*(F.lit(s.column) for s in splits)), F.col("of")).alias("sort_column")
+    return rows.select(named, "place", OPENED_MONTH, "rows")
 
 
 def stored_splits(spark: SparkSession, build: str, column: str) -> Splits:
